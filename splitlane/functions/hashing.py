@@ -14,29 +14,27 @@ _SPAN = 4294967296
 def text_hash(value: Column) -> Column:
     """The JVM hash of a text as a signed 32-bit number in a ``bigint``.
 
-    The text is read as UTF-16 code units, so characters outside the basic plane
-    count as their two surrogates. All of it runs on built-in expressions; the
-    encoded text is bound once per row (the outer one-element ``transform``)
-    rather than once per character.
+    Built-in expressions only, linear in the text's length. The hash counts
+    UTF-16 units, so a character outside the basic plane adds its two surrogates.
     """
 
-    def fold(units: Column) -> Column:
-        last = (F.octet_length(units) / 2 - 1).cast("int")
-        unit = lambda i: F.conv(F.hex(F.substring(units, i * 2 + 1, F.lit(2))), 16, 10).cast("bigint")
-        return F.when(last < 0, F.lit(0).cast("bigint")).otherwise(
-            F.aggregate(
-                F.sequence(F.lit(0), last),
-                F.lit(0).cast("bigint"),
-                lambda acc, i: (acc * 31 + unit(i)).bitwiseAND(F.lit(_WORD)),
-            )
+    def add(hash_: Column, unit: Column) -> Column:
+        return hash_ * 31 + unit
+
+    def step(hash_: Column, point: Column) -> Column:
+        above = point - 0x10000
+        high = F.shiftright(above, 10) + 0xD800
+        low = above.bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        wide = point > 0xFFFF
+        return F.when(wide, add(add(hash_, high), low)).otherwise(add(hash_, point)).bitwiseAND(
+            F.lit(_WORD)
         )
 
-    word = F.transform(F.array(F.encode(value, "UTF-16BE")), fold)
-    unsigned = F.get(word, F.lit(0))
-    return F.get(
-        F.transform(F.array(unsigned), lambda h: F.when(h >= _SPAN // 2, h - _SPAN).otherwise(h)),
-        F.lit(0),
-    )
+    points = F.transform(F.split(value, ""), F.ascii)
+    unsigned = F.aggregate(points, F.lit(0).cast("bigint"), step)
+    # Bits 0 to 31 read as a signed number.
+    half = _SPAN // 2
+    return (unsigned + half).bitwiseAND(F.lit(_WORD)) - half
 
 
 def feature_hash(value: Column) -> Column:

@@ -105,7 +105,8 @@ def category_mapping(supports: DataFrame, categorical: DataFrame) -> DataFrame:
 
     Feature values are 32-bit hashes, so they fall into at most 65,536 spans of
     65,536 values. Codes are ranks inside the span plus the number of values in
-    lower spans: no window ever holds a whole feature.
+    lower spans: no window ever holds a whole feature. ``supports`` is read
+    several times; settle it first when it is dear to compute.
     """
     mapped = explanatory_features(supports).join(categorical, ["app_id", "pos"], "left_semi")
     values = lookup_join(supports, mapped, ["app_id", "pos"], "inner").withColumn(

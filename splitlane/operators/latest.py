@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitlane.operators.lookup import lookup_join
+from splitlane.operators.lookup import fits_broadcast, lookup_join
 from splitlane.schema import SAMPLE_CAP
 from splitlane.session import settle
 
@@ -13,16 +13,19 @@ FINE_SPAN = 1 << 16
 COARSE_SPAN = 1 << 32
 
 
-def latest_start(starts: DataFrame) -> DataFrame:
-    """The start of highest ``event_id`` per session.
+PAYLOAD = ("event_id", "ts_ms", "identity", "variation", "kind")
+
+
+def latest_start(starts: DataFrame, payload: tuple[str, ...] = PAYLOAD) -> DataFrame:
+    """The start of highest ``event_id`` per session, with the ``payload`` columns it has.
 
     An aggregate, not a window: each task first reduces its own rows, so a
     session holding a third of the events sends one row per task.
     """
-    payload = [c for c in starts.columns if c not in ("app_id", "session")]
+    columns = [c for c in payload if c in starts.columns]
     return (
         starts.groupBy("app_id", "session")
-        .agg(F.max_by(F.struct(*payload), F.col("event_id")).alias("latest"))
+        .agg(F.max_by(F.struct(*columns), F.col("event_id")).alias("latest"))
         .select("app_id", "session", "latest.*")
     )
 
@@ -36,24 +39,26 @@ def _cut(histogram: DataFrame, keys: list[str], bucket: str, n: int) -> DataFram
     return needed.where(F.col("_newer") < n).groupBy(*keys).agg(F.min(bucket).alias("_from"))
 
 
-def latest_cutoffs(events: DataFrame, n: int, keys: list[str], order: str = "event_id") -> DataFrame:
-    """Per group, an id at or below its n-th latest one, from a histogram of ids.
+def _id_histogram(events: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows per group and narrow bucket of ids; counts are combined before the shuffle."""
+    fine = F.floor(F.col(order) / F.lit(FINE_SPAN))
+    counted = events.groupBy(*keys, fine.alias("_fine")).agg(F.count(F.lit(1)).alias("_rows"))
+    return settle(counted, "id-histogram")
+
+
+def _cut_in_two_steps(histogram: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Cut by wide buckets first, then by narrow ones from the wide bucket of that cut on.
 
-    Only the keys and the id are read, and counts are combined before the
-    shuffle. The cut is found in two steps, by wide buckets and then by narrow
-    ones inside the wide bucket of the cut, so no window holds more than the
-    number of wide buckets, or ``n`` plus the narrow buckets of one wide one.
+    No window then holds more than the number of wide buckets, or ``n`` plus the
+    narrow buckets of one wide one.
     """
-    ratio = COARSE_SPAN // FINE_SPAN
-    fine = events.groupBy(
-        *keys, F.floor(F.col(order) / F.lit(FINE_SPAN)).alias("_fine")
-    ).agg(F.count(F.lit(1)).alias("_rows"))
-    fine = settle(fine.withColumn("_coarse", F.floor(F.col("_fine") / F.lit(ratio))), "id-histogram")
-    coarse = fine.groupBy(*keys, "_coarse").agg(F.sum("_rows").alias("_rows"))
-    wide = _cut(coarse, keys, "_coarse", n)
-    near = lookup_join(fine, wide, keys, "inner").where(F.col("_coarse") >= F.col("_from"))
-    narrow = _cut(near.drop("_from"), keys, "_fine", n)
-    return narrow.select(*keys, (F.col("_from") * FINE_SPAN).cast("bigint").alias("_cutoff"))
+    coarse = F.floor(F.col("_fine") / F.lit(COARSE_SPAN // FINE_SPAN))
+    wide = histogram.groupBy(*keys, coarse.alias("_coarse")).agg(F.sum("_rows").alias("_rows"))
+    start = _cut(wide, keys, "_coarse", n).select(
+        *keys, (F.col("_from") * (COARSE_SPAN // FINE_SPAN)).alias("_start")
+    )
+    near = lookup_join(histogram, start, keys, "inner").where(F.col("_fine") >= F.col("_start"))
+    return _cut(near.drop("_start"), keys, "_fine", n)
 
 
 def latest_n(
@@ -64,14 +69,25 @@ def latest_n(
 ) -> DataFrame:
     """The latest ``n`` rows per app and type, exactly; ``None`` keeps all.
 
-    Rows older than their group's cutoff are dropped where they are read. What
-    is left per group is below ``n`` plus one narrow bucket of ids, so the final
-    ranking is bounded however large the group was.
+    A histogram of ids (which reads the keys and the id alone) gives each group
+    a cutoff at or below its n-th latest id. Rows older than the cutoff are
+    dropped where they are read. What is left per group is below ``n`` plus one
+    narrow bucket of ids, so the final ranking is bounded however large the
+    group was.
     """
     if n is None:
         return events
     names = list(keys)
-    cutoffs = settle(latest_cutoffs(events, n, names, order), "cutoffs")
-    recent = lookup_join(events, cutoffs, names, "inner").where(F.col(order) >= F.col("_cutoff"))
+    histogram = _id_histogram(events, names, order)
+    small = fits_broadcast(histogram)
+    cuts = _cut(histogram, names, "_fine", n) if small else _cut_in_two_steps(histogram, names, n)
+    cutoffs = cuts.select(*names, (F.col("_from") * FINE_SPAN).cast("bigint").alias("_cutoff"))
+    # A small histogram has no more groups than rows, so its cutoffs need no second measuring.
+    recent = lookup_join(events, cutoffs, names, "inner", small=True if small else None)
     rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.col(order).desc()))
-    return recent.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_cutoff")
+    return (
+        recent.where(F.col(order) >= F.col("_cutoff"))
+        .withColumn("_rank", rank)
+        .where(F.col("_rank") <= n)
+        .drop("_rank", "_cutoff")
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitlane.operators.lookup import lookup_join
+from splitlane.operators.running import max_before
 from splitlane.schema import LOADING, NO_DATA, REGISTRY, SUSPENDED, TRAINING
 
 MUTABLE = ("run_state", "predicting_from", "variations", "descriptors", "model_path", "model_type")
@@ -90,18 +91,50 @@ def command_result(command: Column, state: Column) -> Column:
 
 
 def apply_commands(registry: DataFrame, commands: DataFrame) -> DataFrame:
-    """Each command judged against its app's recorded state; refused ones change nothing.
+    """Each command judged in order of ``command_id`` against its app's state at that point.
 
-    Commands to unknown apps come out refused, with null states.
+    Only start and stop change a state, so the state before a command follows
+    from the recorded one and the last start and stop before it. Refused
+    commands change nothing; commands to unknown apps are refused, with null states.
     """
-    apps = registry.select("app_id", "run_state")
-    state, command = F.col("run_state"), F.col("command")
+    command = F.col("command")
+    order = F.col("command_id")
+    history = max_before(
+        commands,
+        ["app_id"],
+        "command_id",
+        _start=F.when(command == "start", order),
+        _stop=F.when(command == "stop", order),
+    )
+    apps = registry.select("app_id", F.col("run_state").alias("_recorded"))
+    recorded, start, stop = F.col("_recorded"), F.col("_start"), F.col("_stop")
+    before = (
+        F.when(recorded.isNull() | (recorded == LOADING), recorded)
+        .when(stop.isNotNull(), F.when(start > stop, F.lit(NO_DATA)).otherwise(F.lit(SUSPENDED)))
+        .when(start.isNotNull() & (recorded == SUSPENDED), F.lit(NO_DATA))
+        .otherwise(recorded)
+    )
+    state = F.col("run_state")
     return (
-        lookup_join(commands, apps, "app_id")
+        lookup_join(history, apps, "app_id")
+        .withColumn("run_state", before)
         .withColumn("accepted", F.coalesce(command_accepted(command, state), F.lit(False)))
         .withColumn(
             "new_state", F.when(F.col("accepted"), command_result(command, state)).otherwise(state)
         )
+        .drop("_start", "_stop", "_recorded")
+    )
+
+
+def state_changes(judged: DataFrame) -> DataFrame:
+    """The state each app ends in, as changes for ``registry_update``."""
+    return (
+        judged.where("accepted")
+        .groupBy("app_id")
+        .agg(
+            F.max_by("new_state", "command_id").alias("run_state"),
+            F.max("command_id").alias("seq"),
+        )
     )
 
 

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlane.operators.latest import latest_start
+from splitlane.operators.latest import PAYLOAD, latest_start
 from splitlane.schema import FINISH, START
 
-PAYLOAD = ("event_id", "ts_ms", "identity", "variation", "kind")
-
 
 def drop_blank_sessions(events: DataFrame) -> DataFrame:
     """Leave out events that came without a session (they would all pair up as one)."""

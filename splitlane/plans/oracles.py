@@ -602,12 +602,26 @@ asked AS (
     CASE o_orderkey % 9 WHEN 0 THEN 'reload' WHEN 1 THEN 'start' WHEN 2 THEN 'stop' WHEN 3 THEN 'status'
       WHEN 4 THEN 'config' WHEN 5 THEN 'predict' WHEN 6 THEN 'store' WHEN 7 THEN 'dump'
       ELSE 'train' END AS command FROM orders
+),
+judged AS (
+  SELECT q.*, a.run_state AS recorded,
+    max(CASE WHEN command = 'start' THEN command_id END) OVER earlier AS last_start,
+    max(CASE WHEN command = 'stop' THEN command_id END) OVER earlier AS last_stop
+  FROM asked q LEFT JOIN apps a ON q.app_id = a.app_id
+  WINDOW earlier AS (PARTITION BY q.app_id ORDER BY command_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+placed AS (
+  SELECT *, CASE WHEN recorded IS NULL OR recorded = 'Loading' THEN recorded
+    WHEN last_stop IS NOT NULL AND last_start > last_stop THEN 'NoData'
+    WHEN last_stop IS NOT NULL THEN 'Suspended'
+    WHEN last_start IS NOT NULL AND recorded = 'Suspended' THEN 'NoData'
+    ELSE recorded END AS run_state FROM judged
 )""",
         f"""SELECT command_id, app_id, command, run_state, accepted,
               CASE WHEN accepted AND command = 'start' THEN 'NoData'
                 WHEN accepted AND command = 'stop' THEN 'Suspended' ELSE run_state END AS new_state
-            FROM (SELECT q.*, a.run_state, {ACCEPTED} AS accepted
-                  FROM asked q LEFT JOIN apps a ON q.app_id = a.app_id)""",
+            FROM (SELECT *, {ACCEPTED} AS accepted FROM placed)""",
     ),
     "recover_registry": _with(
         MANY_APPS,

@@ -17,6 +17,8 @@ from splitlane.operators.geo import geo_range_join
 from splitlane.operators.lookup import lookup_join
 from splitlane.operators.trees import class_positions, load_model, score_options
 from splitlane.schema import NO_DATA, PREDICTED, PREDICTING, TRAINING
+from splitlane.session import settle
+from splitlane.sinks.tables import by_app
 
 # Modelled apps decided by one plan; more apps become more plans, not a bigger one.
 APPS_PER_PLAN = 16
@@ -140,12 +142,17 @@ def decision_plans(
     )
     scored = configured.where("_scores")
     modelled = _modelled(apps)
-    while batch := list(islice(modelled, APPS_PER_PLAN)):
+    batch = list(islice(modelled, APPS_PER_PLAN))
+    if len(batch) == APPS_PER_PLAN:
+        # Many plans: let each read the folders of its own apps only.
+        scored = settle(by_app(scored), "requests", ("app_id",))
+    while batch:
         parts = [_decision_columns(_decide_scored(scored, app, loader)) for app in batch]
         plan = parts[0]
         for part in parts[1:]:
             plan = plan.unionByName(part)
         yield plan
+        batch = list(islice(modelled, APPS_PER_PLAN))
 
 
 def choose_variation(

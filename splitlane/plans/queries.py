@@ -310,6 +310,11 @@ def feature_hash_(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _supports(spark: SparkSession, sf: str) -> DataFrame:
+    """Supports as a table of its own, as operators reading them more than once expect."""
+    return settle(features.infer_supports(_vectors(spark, sf)), "supports")
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return features.feature_vector(sessions.session_sample(V.ab(spark, sf)), V.two_apps(spark))
 
@@ -522,7 +527,8 @@ def unseen_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """All sessions coded by the categories of the first day's events alone."""
     known = filters.starts_of(V.ab(spark, sf)).where(F.col("ts_ms") < SEEN_UNTIL)
     apps = V.two_apps(spark)
-    seen = features.infer_supports(features.feature_vector(known.withColumn("goal", F.lit(False)), apps))
+    vectors = features.feature_vector(known.withColumn("goal", F.lit(False)), apps)
+    seen = settle(features.infer_supports(vectors), "supports")
     codes = settle(features.category_mapping(seen, features.categorical_positions(apps)), "codes")
     coded = features.encode_unseen(_vectors(spark, sf), codes, 4, "app_id", "session")
     return coded.select("app_id", "session", *_positions())
@@ -533,13 +539,13 @@ def unseen_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def category_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    supports = features.infer_supports(_vectors(spark, sf))
-    return features.category_mapping(supports, features.categorical_positions(V.two_apps(spark)))
+    positions = features.categorical_positions(V.two_apps(spark))
+    return features.category_mapping(_supports(spark, sf), positions)
 
 
 @query
 def remap_sample(spark: SparkSession, sf: str) -> DataFrame:
-    coded, _ = train.code_sample(_vectors(spark, sf), V.two_apps(spark))
+    coded, _ = train.code_sample(settle(_vectors(spark, sf), "features"), V.two_apps(spark))
     return coded.select("app_id", "session", *_positions(), "label")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -31,10 +32,10 @@ from splitlane.session import settle
 from splitlane.sinks.tables import append_metrics, write_registry
 from splitlane.sources.tables import read_registry
 
-# An uncapped app's rows are written by this many tasks, not one.
-APP_FILES = 16
 PARALLEL_FITS = 4
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Prepared:
@@ -68,7 +69,8 @@ def feature_width(registry: DataFrame) -> int:
 def code_sample(features: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Code the categories of feature rows; returns coded rows and the codes.
 
-    Supports come from the whole sample, before any split.
+    Supports come from the whole sample, before any split. ``features`` is read
+    twice; settle it first when it is dear to compute.
     """
     checked = to_feature_frame(features, registry)
     supports = settle(infer_supports(checked), "supports")
@@ -82,12 +84,14 @@ def prepare_sample(
     n: int | None = SAMPLE_CAP,
     kinds: tuple[str, ...] | None = None,
 ) -> Prepared:
-    """Sample, featurize and code all apps at once; one folder per app for the fits to read."""
+    """Sample, featurize and code all apps at once; one folder per app for the fits to read.
+
+    Rows are brought together by app and a large app is split again by size.
+    """
     sample = session_sample(latest_n(events, n), kinds)
     features = settle(feature_vector(sample, registry), "features")
     coded, mapping = code_sample(features, registry)
-    spread = F.pmod(F.xxhash64("session"), F.lit(APP_FILES if n is None else 1))
-    placed = coded.withColumn("train", in_training()).repartition("app_id", spread)
+    placed = coded.withColumn("train", in_training()).hint("rebalance", "app_id")
     return Prepared(settle(placed, "coded", ("app_id",)), mapping, registry)
 
 
@@ -198,7 +202,7 @@ def retrain_cycle(
                 append_metrics(done.report, metrics_path)
                 return app_id, path
             except Exception as error:  # one app's failure must not stop the others
-                print(f"training of app {app_id} failed: {error}")
+                log.warning("training of app %s failed: %s", app_id, error)
                 return app_id, None
 
         outcomes = list(_in_parallel(one, ids, parallel))

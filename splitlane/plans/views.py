@@ -44,10 +44,10 @@ def wall_ms(ts: Column) -> Column:
 
 
 def _typed(events: DataFrame) -> DataFrame:
-    kind_of = F.when(F.col("event_type").isin("view", "click"), F.lit(START)).when(
-        F.col("event_type") == "purchase", F.lit(FINISH)
-    )
-    return events.withColumn("etype", kind_of).where(F.col("etype").isNotNull())
+    """Events that are starts or finishes; the filter is on the stored column, so it is pushed down."""
+    kind_of = F.when(F.col("event_type") == "purchase", F.lit(FINISH)).otherwise(F.lit(START))
+    kept = events.where(F.col("event_type").isin("view", "click", "purchase"))
+    return kept.withColumn("etype", kind_of)
 
 
 def plain_events(events: DataFrame) -> DataFrame:

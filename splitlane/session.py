@@ -18,6 +18,7 @@ def local_session(cpus: int | str = 8, name: str = "splitlane", **settings: str)
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
@@ -45,7 +46,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/splitlane/{label}-{uuid.uuid4().hex}"
+    """A new path below the scratch folder, in the folder of this application.
+
+    The application's folder may be removed once the application has ended.
+    """
+    own = f"{scratch_root(spark).rstrip('/')}/splitlane/{spark.sparkContext.applicationId}"
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -19,7 +19,12 @@ def append_finishes(finishes: DataFrame, path: str) -> None:
 
 
 def _append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("app_id").parquet(path)
+    by_app(rows).write.mode("append").partitionBy("app_id").parquet(path)
+
+
+def by_app(rows: DataFrame) -> DataFrame:
+    """Rows of an app brought together, large apps split by size: few files, none oversized."""
+    return rows.hint("rebalance", "app_id")
 
 
 def write_registry(registry: DataFrame, path: str) -> int:

@@ -17,6 +17,7 @@ from splitlane.operators.filters import stamp_server_time
 from splitlane.operators.sessions import session_sample
 from splitlane.plans.predict import enrich_requests, predict_and_log
 from splitlane.schema import FINISH, FINISH_EVENTS, PREDICT, REQUESTS, START, START_EVENTS
+from splitlane.sinks.tables import by_app
 from splitlane.sources.tables import (
     decode_finishes,
     decode_predicts,
@@ -45,7 +46,8 @@ def _batch_folder(path: str, batch_id: int, part: int = 0) -> str:
 
 
 def _write_batch(rows: DataFrame, path: str, batch_id: int, part: int = 0) -> None:
-    rows.write.mode("overwrite").partitionBy("app_id").parquet(_batch_folder(path, batch_id, part))
+    folder = _batch_folder(path, batch_id, part)
+    by_app(rows).write.mode("overwrite").partitionBy("app_id").parquet(folder)
 
 
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str,
@@ -94,7 +96,7 @@ def stream_session_sample(
     A session stays open for ever, as a finish counts however late it comes.
     """
     def work(df: DataFrame, batch_id: int) -> None:
-        _write_batch(df, out, batch_id)
+        df.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
     return _start(session_sample(events), work, checkpoint, "update", once)
 
@@ -102,7 +104,6 @@ def stream_session_sample(
 def read_session_sample(spark: SparkSession, out: str) -> DataFrame:
     """Newest state of every session written by ``stream_session_sample``."""
     changes = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*/part=*")
-    changes = changes.withColumn("app_id", F.col("app_id").cast("string"))
     state = [c for c in changes.columns if c not in ("app_id", "session", "batch_id", "part")]
     return (
         changes.groupBy("app_id", "session")
