@@ -12,13 +12,11 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def fits_broadcast(
-    lookup: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> bool:
+def fits_broadcast(lookup: DataFrame) -> bool:
     """Measure a table (one aggregate job) against the broadcast bounds."""
     size = F.octet_length(F.to_json(F.struct("*"))).cast("bigint")
     rows, total = lookup.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return rows <= max_rows and total <= max_bytes
+    return rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES
 
 
 def _spreadable(df: DataFrame) -> list[str]:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlane.operators.counts import retrain_eligible
@@ -152,13 +152,14 @@ def train_and_evaluate(
 ) -> list[Trained]:
     """Prepare once, then fit the given apps, a few at a time."""
     prepared = prepare_sample(events, registry, n)
-    return list(_in_parallel(lambda app: train_app(prepared, app, spec), app_ids, parallel))
+    work = lambda app: train_app(prepared, app, spec)
+    return list(_in_parallel(events.sparkSession, work, app_ids, parallel))
 
 
-def _in_parallel(work, items, parallel: int):
+def _in_parallel(spark: SparkSession, work, items, parallel: int):
     """Run Spark jobs side by side so that small fits do not leave the cluster idle."""
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        yield from pool.map(inheritable_thread_target(work), items)
+        yield from pool.map(inheritable_thread_target(spark)(work), items)
 
 
 def retrain_cycle(
@@ -205,7 +206,7 @@ def retrain_cycle(
                 log.warning("training of app %s failed: %s", app_id, error)
                 return app_id, None
 
-        outcomes = list(_in_parallel(one, ids, parallel))
+        outcomes = list(_in_parallel(spark, one, ids, parallel))
     finally:
         done = {app for app, _ in outcomes}
         outcomes += [(app, None) for app in ids if app not in done]
