@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from splitlane.operators.lookup import lookup_join
 from splitlane.operators.running import max_before
-from splitlane.schema import LOADING, NO_DATA, REGISTRY, SUSPENDED, TRAINING
+from splitlane.schema import LOADING, NO_DATA, PREDICTING, REGISTRY, SUSPENDED, TRAINING
 
 MUTABLE = ("run_state", "predicting_from", "variations", "descriptors", "model_path", "model_type")
 
@@ -57,7 +57,13 @@ def registry_update(registry: DataFrame, changes: DataFrame) -> DataFrame:
     joined = registry.join(last, "app_id", "left")
     for f in fields:
         joined = joined.withColumn(f, F.coalesce(F.col(f"_{f}"), F.col(f)))
-    return joined.select(*registry.columns)
+    return keep_epoch(joined).select(*registry.columns)
+
+
+def keep_epoch(registry: DataFrame) -> DataFrame:
+    """An epoch belongs to a predicting app, or to one in training that was predicting."""
+    held = F.col("run_state").isin(PREDICTING, TRAINING)
+    return registry.withColumn("predicting_from", F.when(held, F.col("predicting_from")))
 
 
 def update_where(df: DataFrame, predicate: Column, **values: Column) -> DataFrame:
@@ -140,4 +146,5 @@ def state_changes(judged: DataFrame) -> DataFrame:
 
 def recover_registry(registry: DataFrame) -> DataFrame:
     """Interrupted trainings fall back to collecting data."""
-    return update_where(registry, F.col("run_state") == TRAINING, run_state=F.lit(NO_DATA))
+    stuck = F.col("run_state") == TRAINING
+    return keep_epoch(update_where(registry, stuck, run_state=F.lit(NO_DATA)))

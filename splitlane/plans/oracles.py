@@ -401,7 +401,8 @@ changes AS (
 )""",
         """SELECT a.app_id, CASE WHEN state_key IS NULL THEN run_state
              WHEN state_key % 2 = 0 THEN 'Training' ELSE 'NoData' END AS run_state,
-             predicting_from, config, coalesce('models/' || model_key, model_path) AS model_path, model_type
+             CASE WHEN state_key IS NULL OR state_key % 2 = 0 THEN predicting_from END AS predicting_from,
+             config, coalesce('models/' || model_key, model_path) AS model_path, model_type
            FROM apps a LEFT JOIN changes c ON a.app_id = c.app_id""",
     ),
     "update_where": _with(

@@ -27,7 +27,7 @@ from splitlane.operators.lookup import lookup_join
 from splitlane.operators.registry import registry_update
 from splitlane.operators.sessions import session_sample
 from splitlane.operators.trees import TREE_REGRESSOR, TreeSpec, fit_tree, save_model, score_rows
-from splitlane.schema import NO_DATA, PREDICTING, SAMPLE_CAP, TRAINING
+from splitlane.schema import NO_DATA, PREDICTING, SAMPLE_CAP, TRAIN_METRICS, TRAINING
 from splitlane.session import settle
 from splitlane.sinks.tables import append_metrics, write_registry
 from splitlane.sources.tables import read_registry
@@ -189,38 +189,32 @@ def retrain_cycle(
     marks = eligible.select("app_id", F.lit(TRAINING).alias("run_state"), F.lit(0).alias("seq"))
     write_registry(registry_update(registry, marks), registry_path)
 
-    outcomes: list[tuple[str, str | None]] = []
+    outcomes: list[tuple[str, str | None, tuple | None]] = []
     try:
         chosen = lookup_join(events, eligible, "app_id", "inner")
         prepared = prepare_sample(chosen, registry, n)
 
-        def one(app_id: str) -> tuple[str, str | None]:
+        def one(app_id: str) -> tuple[str, str | None, tuple | None]:
             path = f"{models_path}/app_id={app_id}/trained_at={started}"
             try:
                 done = train_app(prepared, app_id, spec, trained_at=started)
                 codes = prepared.mapping.where(F.col("app_id") == app_id)
                 save_model(done.model, codes, path)
-                append_metrics(done.report, metrics_path)
-                return app_id, path
+                return app_id, path, done.report.select(*TRAIN_METRICS.names).first()
             except Exception as error:  # one app's failure must not stop the others
                 log.warning("training of app %s failed: %s", app_id, error)
-                return app_id, None
+                return app_id, None, None
 
         outcomes = list(_in_parallel(spark, one, ids, parallel))
     finally:
-        done = {app for app, _ in outcomes}
-        outcomes += [(app, None) for app in ids if app not in done]
+        tried = {app for app, _, _ in outcomes}
+        outcomes += [(app, None, None) for app in ids if app not in tried]
         finished = int(time.time() * 1000) if now_ms is None else now_ms
         results = [
-            (
-                app,
-                PREDICTING if path else NO_DATA,
-                finished if path else None,
-                path,
-                spec.model_type if path else None,
-                1,
-            )
-            for app, path in outcomes
+            (app, PREDICTING, finished, path, spec.model_type, 1)
+            if path
+            else (app, NO_DATA, None, None, None, 1)
+            for app, path, _ in outcomes
         ]
         changes = spark.createDataFrame(
             results,
@@ -230,4 +224,8 @@ def retrain_cycle(
         write_registry(
             registry_update(read_registry(spark, registry_path), changes), registry_path
         )
+    # One append for all apps: parallel appends to one folder would undo each other.
+    reports = [report for _, _, report in outcomes if report is not None]
+    if reports:
+        append_metrics(spark.createDataFrame(reports, TRAIN_METRICS), metrics_path)
     return ids

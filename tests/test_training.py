@@ -178,9 +178,24 @@ def test_retrain_cycle_sets_model_and_state_together(spark):
     assert train.retrain_cycle(data, *where) == []
 
 
+def test_several_apps_are_trained_side_by_side(spark):
+    path = scratch_path(spark, "cycle")
+    ids = [str(i).zfill(24) for i in range(5)]
+    apps = spark.createDataFrame([(i,) for i in ids], "app_id string")
+    one = population_app(spark)
+    write_registry(one.drop("app_id").crossJoin(apps).select(*one.columns), f"{path}/registry")
+    data = two_populations(spark, 60).drop("app_id").crossJoin(apps)
+    where = (f"{path}/registry", f"{path}/models", f"{path}/metrics")
+    assert sorted(train.retrain_cycle(data, *where, parallel=5)) == ids
+    assert {r.run_state for r in read_registry(spark, where[0]).collect()} == {"Predicting"}
+    assert sorted(r.app_id for r in spark.read.parquet(where[2]).collect()) == ids
+
+
 def test_failed_training_falls_back_to_no_data(spark, monkeypatch):
     path = scratch_path(spark, "cycle")
-    write_registry(population_app(spark), f"{path}/registry")
+    write_registry(
+        population_app(spark, state="Predicting", predicting_from=1, model_path="old"), f"{path}/registry"
+    )
     where = (f"{path}/registry", f"{path}/models", f"{path}/metrics")
 
     def fail(*args, **kwargs):
@@ -189,4 +204,4 @@ def test_failed_training_falls_back_to_no_data(spark, monkeypatch):
     monkeypatch.setattr(train, "train_app", fail)
     train.retrain_cycle(two_populations(spark, 100), *where)
     row = read_registry(spark, where[0]).first()
-    assert (row.run_state, row.model_path) == ("NoData", None)
+    assert (row.run_state, row.predicting_from) == ("NoData", None)
