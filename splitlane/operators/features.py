@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,12 +142,10 @@ def encode_unseen(
     mapping: DataFrame,
     width: int,
     *keys: str,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """As ``remap_sample``; a value never seen becomes a seen code drawn by ``keys``."""
     arities = (
-        (mapping if sizes is None else sizes)
-        .select("app_id", "pos", "arity")
+        mapping.select("app_id", "pos", "arity")
         .distinct()
         .groupBy("app_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("pos", "arity"))).alias("_arities"))
@@ -160,6 +159,17 @@ def encode_unseen(
     return _encode(sized, mapping, width, fallback).drop("_arities")
 
 
+class CategoryCoder(Transformer):
+    """``encode_unseen`` as an ML transformer, for pipelines; any other may take its place."""
+
+    def __init__(self, mapping: DataFrame, width: int, keys: tuple[str, ...]) -> None:
+        super().__init__()
+        self.mapping, self.width, self.keys = mapping, width, keys
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return encode_unseen(dataset, self.mapping, self.width, *self.keys)
+
+
 def _encode(
     features: DataFrame, mapping: DataFrame, width: int, fallback: Callable[[int], Column]
 ) -> DataFrame:

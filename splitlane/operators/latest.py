@@ -71,7 +71,8 @@ def latest_n(
 
     A histogram of ids (which reads the keys and the id alone) gives each group
     a cutoff at or below its n-th latest id. Rows older than the cutoff are
-    dropped where they are read. What is left per group is below ``n`` plus one
+    dropped where they are read, those older than every cutoff even before: the
+    scan skips them by their statistics. What is left per group is below ``n`` plus one
     narrow bucket of ids, so the final ranking is bounded however large the
     group was.
     """
@@ -82,8 +83,11 @@ def latest_n(
     small = fits_broadcast(histogram)
     cuts = _cut(histogram, names, "_fine", n) if small else _cut_in_two_steps(histogram, names, n)
     cutoffs = cuts.select(*names, (F.col("_from") * FINE_SPAN).cast("bigint").alias("_cutoff"))
+    # The lowest cutoff, as a plain filter, reaches the scan and skips whole row groups.
+    oldest = cutoffs.agg(F.min("_cutoff")).first()[0]
+    young = events if oldest is None else events.where(F.col(order) >= oldest)
     # A small histogram has no more groups than rows, so its cutoffs need no second measuring.
-    recent = lookup_join(events, cutoffs, names, "inner", small=True if small else None)
+    recent = lookup_join(young, cutoffs, names, "inner", small=True if small else None)
     rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.col(order).desc()))
     return (
         recent.where(F.col(order) >= F.col("_cutoff"))

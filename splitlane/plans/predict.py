@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import islice
 
-from pyspark.ml import Model
+from pyspark.ml import Model, Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitlane.functions.hashing import draw_below
 from splitlane.functions.identity import enrich_identity
 from splitlane.operators.assign import chosen, pick_best, random_assign
-from splitlane.operators.features import encode_unseen, identity_features
+from splitlane.operators.features import CategoryCoder, identity_features
 from splitlane.operators.geo import geo_range_join
 from splitlane.operators.lookup import lookup_join
 from splitlane.operators.trees import class_positions, load_model, score_options
@@ -67,23 +67,34 @@ def _variation_codes(mapping: DataFrame, pos: int, count: int, keys: list[str])
     ]
 
 
-def coded_identity(requests: DataFrame, mapping: DataFrame, descriptors: int) -> DataFrame:
-    """Coded identity features of one app's requests; unseen values become a seen code."""
+def coded_identity(
+    requests: DataFrame, mapping: DataFrame, descriptors: int, extractor: Transformer | None = None
+) -> DataFrame:
+    """Coded identity features of one app's requests; unseen values become a seen code.
+
+    Another ``extractor`` may turn the hashed ``features`` into the model's.
+    """
     hashed = requests.withColumn(
         "features", identity_features(F.col("identity"), F.col("descriptors"))
     )
-    return encode_unseen(hashed, mapping, descriptors, "app_id", "event_id")
+    coder = extractor or CategoryCoder(mapping, descriptors, ("app_id", "event_id"))
+    return coder.transform(hashed)
 
 
 def score_app(
-    requests: DataFrame, model: Model, mapping: DataFrame, descriptors: int, variations: int
+    requests: DataFrame,
+    model: Model,
+    mapping: DataFrame,
+    descriptors: int,
+    variations: int,
+    extractor: Transformer | None = None,
 ) -> DataFrame:
     """Add ``scores``, one per variation, to the configured requests of one app.
 
     ``features`` holds the coded identity. Works for regressors and, by the
     chance of conversion, for classifiers.
     """
-    coded = coded_identity(requests, mapping, descriptors)
+    coded = coded_identity(requests, mapping, descriptors, extractor)
     options = _variation_codes(mapping, descriptors, variations, ["app_id", "event_id"])
     return score_options(model, coded, options)
 
