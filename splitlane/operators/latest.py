@@ -13,6 +13,9 @@ FINE_SPAN = 1 << 16
 COARSE_SPAN = 1 << 32
 
 
+# Sorts compare the first bytes of the first key before anything else. Padded app
+# ids all begin alike, so the session goes first.
+SESSION_KEYS = ("session", "app_id")
 PAYLOAD = ("event_id", "ts_ms", "identity", "variation", "kind")
 
 
@@ -24,7 +27,7 @@ def latest_start(starts: DataFrame, payload: tuple[str, ...] = PAYLOAD) -> DataF
     """
     columns = [c for c in payload if c in starts.columns]
     return (
-        starts.groupBy("app_id", "session")
+        starts.groupBy(*SESSION_KEYS)
         .agg(F.max_by(F.struct(*columns), F.col("event_id")).alias("latest"))
         .select("app_id", "session", "latest.*")
     )

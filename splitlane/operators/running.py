@@ -18,18 +18,17 @@ def max_before(df: DataFrame, keys: list[str], order: str, **values: Column) ->
     rows = df.withColumn("_span", F.floor(F.col(order) / F.lit(SPAN)))
     rows = rows.withColumns({f"_v_{name}": value for name, value in values.items()})
     lower = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = ["_span", *keys]
     inside = (
-        Window.partitionBy(*keys, "_span")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*spans).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    summary = rows.groupBy(*keys, "_span").agg(
+    summary = rows.groupBy(*spans).agg(
         *[F.max(f"_v_{name}").alias(f"_s_{name}") for name in values]
     )
     carried = summary.select(
-        *keys, "_span", *[F.max(f"_s_{name}").over(lower).alias(f"_c_{name}") for name in values]
+        *spans, *[F.max(f"_s_{name}").over(lower).alias(f"_c_{name}") for name in values]
     )
-    joined = rows.join(carried, [*keys, "_span"])
+    joined = rows.join(carried, spans)
     return joined.select(
         *df.columns,
         *[

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlane.operators.latest import PAYLOAD, latest_start
+from splitlane.operators.latest import PAYLOAD, SESSION_KEYS, latest_start
 from splitlane.schema import FINISH, START
 
 
@@ -27,7 +27,7 @@ def session_sample(
     if kinds:
         is_start = is_start & F.col("kind").isin(*kinds)
     return (
-        events.groupBy("app_id", "session")
+        events.groupBy(*SESSION_KEYS)
         .agg(
             F.max_by(F.struct(*columns), F.when(is_start, F.col("event_id"))).alias("latest"),
             F.count_if(is_start).alias("n_start"),
@@ -44,10 +44,10 @@ def session_pair_join(starts: DataFrame, finishes: DataFrame) -> DataFrame:
     Both sides are reduced to one row per session before they meet, so the join
     has no hot key and reuses the partitioning of the two aggregates.
     """
-    finished = finishes.select("app_id", "session").distinct().withColumn("_finished", F.lit(True))
+    finished = finishes.select(*SESSION_KEYS).distinct().withColumn("_finished", F.lit(True))
     return (
         latest_start(starts)
-        .join(finished, ["app_id", "session"], "left")
+        .join(finished, list(SESSION_KEYS), "left")
         .withColumn("goal", F.coalesce(F.col("_finished"), F.lit(False)))
         .drop("_finished")
     )

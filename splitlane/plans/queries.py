@@ -481,7 +481,7 @@ def _scored_visits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def argmax_variation(spark: SparkSession, sf: str) -> DataFrame:
-    return assign.argmax_variation(_scored_visits(spark, sf), "app_id", "event_id")
+    return assign.argmax_variation(_scored_visits(spark, sf), "event_id", "app_id")
 
 
 @query

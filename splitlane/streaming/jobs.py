@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from splitlane.operators.filters import stamp_server_time
+from splitlane.operators.latest import SESSION_KEYS
 from splitlane.operators.sessions import session_sample
 from splitlane.plans.predict import enrich_requests, predict_and_log
 from splitlane.schema import FINISH, FINISH_EVENTS, PREDICT, REQUESTS, START, START_EVENTS
@@ -106,7 +107,7 @@ def read_session_sample(spark: SparkSession, out: str) -> DataFrame:
     changes = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*/part=*")
     state = [c for c in changes.columns if c not in ("app_id", "session", "batch_id", "part")]
     return (
-        changes.groupBy("app_id", "session")
+        changes.groupBy(*SESSION_KEYS)
         .agg(F.max_by(F.struct(*state), F.col("batch_id")).alias("s"))
         .select("app_id", "session", "s.*")
     )
@@ -124,7 +125,7 @@ def bounded_session_sample(events: DataFrame, gap: str, delay: str) -> DataFrame
     return (
         events.withColumn("event_time", F.timestamp_millis("ts_ms"))
         .withWatermark("event_time", delay)
-        .groupBy("app_id", "session", F.session_window("event_time", gap).alias("span"))
+        .groupBy(*SESSION_KEYS, F.session_window("event_time", gap).alias("span"))
         .agg(
             F.max_by(F.struct(*columns), F.when(is_start, F.col("event_id"))).alias("latest"),
             F.count_if(is_start).alias("n_start"),
