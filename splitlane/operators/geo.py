@@ -1,51 +1,65 @@
-"""Place of an address: a range join on address blocks."""
+"""Place of an address: a range join on blocks of addresses."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitlane.operators.lookup import lookup_join
+from splitlane.operators.lookup import fits_broadcast, lookup_join
 from splitlane.schema import UNKNOWN_PLACE
 
-BLOCK_BITS = 12
+STEP = 4
+# An address registry has some millions of ranges, and every executor can hold them.
+RANGE_ROWS = 4_000_000
+RANGE_BYTES = 256 * 1024 * 1024
 
 
-def geo_range_join(
-    events: DataFrame, ranges: DataFrame, ip: str = "ip_num", block_bits: int = BLOCK_BITS
-) -> DataFrame:
+def _block_bits(low: Column, high: Column) -> Column:
+    """Bits of the smallest block size (in steps) that is at least as wide as the range."""
+    width = F.length(F.bin(high - low))
+    needed = F.when(high == low, F.lit(0)).otherwise(width)
+    return (F.ceil(needed / STEP) * STEP).cast("int")
+
+
+def geo_range_join(events: DataFrame, ranges: DataFrame, ip: str = "ip_num") -> DataFrame:
     """Add ``city`` and ``country`` of the range holding the address.
 
-    Ranges are disjoint, as in an address registry. Each is listed under every
-    block of ``2**block_bits`` addresses it touches, and an address looks only
-    at its own block, so the join is on equal keys and never compares an
-    address with every range. An address of no range, or a name the range
-    lacks, becomes the fixed unknown text; without an address both stay null.
+    Ranges are disjoint, as in an address registry. Each is listed under the
+    blocks it touches of a size just above its own, at most two of them, and an
+    address looks into its block of each size in use. As a block holds ranges
+    wider than a sixteenth of it only, an address meets at most 17 per size,
+    however dense or wide the ranges are. An address of no range, or a name the
+    range lacks, becomes the fixed unknown text; without an address both stay null.
     """
-    block = lambda c: F.shiftright(c, block_bits)
     listed = ranges.select(
         "ip_from",
         "ip_to",
-        F.coalesce("city", F.lit(UNKNOWN_PLACE)).alias("city"),
-        F.coalesce("country", F.lit(UNKNOWN_PLACE)).alias("country"),
-        F.explode(F.sequence(block(F.col("ip_from")), block(F.col("ip_to")))).alias("_block"),
-    )
-    by_block = listed.groupBy("_block").agg(
-        F.collect_list(F.struct("ip_from", "ip_to", "city", "country")).alias("_ranges")
-    )
-    placed = lookup_join(events.withColumn("_block", block(F.col(ip))), by_block, "_block")
-    hit = F.get(
-        F.filter(
-            F.col("_ranges"), lambda r: F.col(ip).between(r["ip_from"], r["ip_to"])
-        ),
-        F.lit(0),
-    )
-    name = lambda field: F.when(
-        F.col(ip).isNotNull(), F.coalesce(F.col("_hit")[field], F.lit(UNKNOWN_PLACE))
-    )
-    return (
-        placed.withColumn("_hit", hit)
-        .withColumn("city", name("city"))
-        .withColumn("country", name("country"))
-        .drop("_block", "_ranges", "_hit")
+        F.coalesce("city", F.lit(UNKNOWN_PLACE)).alias("_city"),
+        F.coalesce("country", F.lit(UNKNOWN_PLACE)).alias("_country"),
+        _block_bits(F.col("ip_from"), F.col("ip_to")).alias("_bits"),
     )
+    small = fits_broadcast(listed, RANGE_ROWS, RANGE_BYTES)
+    sizes = sorted(r[0] for r in listed.select("_bits").distinct().collect())
+    placed = events
+    for bits in sizes:
+        first, last = F.shiftright("ip_from", bits), F.shiftright("ip_to", bits)
+        blocks = listed.where(F.col("_bits") == bits).select(
+            "ip_from",
+            "ip_to",
+            F.col("_city").alias(f"_city{bits}"),
+            F.col("_country").alias(f"_country{bits}"),
+            F.explode(F.sequence(first, last)).alias("_block"),
+        )
+        placed = lookup_join(
+            placed.withColumn("_block", F.shiftright(F.col(ip), bits)),
+            blocks,
+            "_block",
+            small=small,
+            where=F.col(ip).between(F.col("ip_from"), F.col("ip_to")),
+        ).drop("_block", "ip_from", "ip_to")
+
+    def place(name: str) -> Column:
+        found = [F.col(f"_{name}{bits}") for bits in sizes]
+        return F.when(F.col(ip).isNotNull(), F.coalesce(*found, F.lit(UNKNOWN_PLACE))).alias(name)
+
+    return placed.select(*events.columns, place("city"), place("country"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,11 +15,13 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def fits_broadcast(lookup: DataFrame) -> bool:
+def fits_broadcast(
+    lookup: DataFrame, max_rows: int | None = None, max_bytes: int | None = None
+) -> bool:
     """Measure a table (one aggregate job) against the broadcast bounds."""
     size = F.octet_length(F.to_json(F.struct("*"))).cast("bigint")
     rows, total = lookup.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES
+    return rows <= (max_rows or BROADCAST_ROWS) and total <= (max_bytes or BROADCAST_BYTES)
 
 
 def _spreadable(df: DataFrame) -> list[str]:
@@ -41,8 +46,9 @@ def lookup_join(
     how: str = "left",
     small: bool | None = None,
     salts: int = SALTS,
+    where: Column | None = None,
 ) -> DataFrame:
-    """Join ``facts`` to ``lookup`` on equal keys.
+    """Join ``facts`` to ``lookup`` on equal keys, and ``where`` on top.
 
     A lookup measured as small is broadcast: no shuffle, and a hot key costs
     nothing extra. A bigger one is joined on the keys plus a salt, each of its
@@ -51,8 +57,18 @@ def lookup_join(
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(lookup) if small is None else small:
-        return facts.join(F.broadcast(lookup), keys, how)
+        return _join(facts, F.broadcast(lookup), keys, how, where)
     salt = F.pmod(F.xxhash64(*_spreadable(facts)), F.lit(salts)).cast("int")
     salted = facts.withColumn("_salt", salt)
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return _join(salted, copies, [*keys, "_salt"], how, where).drop("_salt")
+
+
+def _join(
+    facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, where: Column | None
+) -> DataFrame:
+    if where is None:
+        return facts.join(lookup, keys, how)
+    renamed = lookup.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    condition = reduce(and_, [F.col(k) == F.col(f"_of_{k}") for k in keys], where)
+    return facts.join(renamed, condition, how).drop(*[f"_of_{k}" for k in keys])

@@ -101,10 +101,12 @@ def test_big_lookup_joins_like_a_small_one(spark, no_broadcast):
     assert "_salt" in plan
 
 
+PLACES = "ip_from bigint, ip_to bigint, city string, country string"
+
+
 def test_geo_ranges(spark):
     ranges = spark.createDataFrame(
-        [(100, 199, "A", "X"), (200, 9000, None, "Y"), (20000, 20000, "C", None)],
-        "ip_from bigint, ip_to bigint, city string, country string",
+        [(100, 199, "A", "X"), (200, 9000, None, "Y"), (20000, 20000, "C", None)], PLACES
     )
     visits = spark.createDataFrame(
         [(1, 100), (2, 199), (3, 5000), (4, 9001), (5, 20000), (6, None)], "id int, ip_num bigint"
@@ -113,8 +115,54 @@ def test_geo_ranges(spark):
         (1, "A", "X"), (2, "A", "X"), (3, "<unknown>", "Y"), (4, "<unknown>", "<unknown>"),
         (5, "C", "<unknown>"), (6, None, None),
     ]
-    for bits in (4, 12):
-        assert rows(geo_range_join(visits, ranges, block_bits=bits), "id", "city", "country") == expected
+    placed = geo_range_join(visits, ranges)
+    assert placed.columns == ["id", "ip_num", "city", "country"]
+    assert rows(placed, "id", "city", "country") == expected
+
+
+def disjoint_ranges(count=400, seed=8):
+    """Ranges of very different widths with gaps between some of them."""
+    import random
+
+    draws, at, made = random.Random(seed), 3, []
+    for i in range(count):
+        at += draws.choice([0, 0, 1, 50])
+        width = draws.choice([1, 1, 2, 15, 16, 17, 255, 256, 257, 4096, 70000])
+        made.append((at, at + width - 1, f"city {i}", f"land {i % 7}"))
+        at += width
+    return made
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_geo_ranges_of_all_widths_against_a_search(spark, broadcast, monkeypatch):
+    import bisect
+    import random
+
+    from splitlane.operators import geo
+
+    if not broadcast:
+        monkeypatch.setattr(geo, "RANGE_ROWS", 1)
+    made = disjoint_ranges()
+    draws = random.Random(2)
+    edges = [e for low, high, *_ in made for e in (low - 1, low, high, high + 1)]
+    visits = [(i, ip) for i, ip in enumerate(edges + [draws.randrange(made[-1][1] + 99) for _ in range(2000)])]
+    starts = [low for low, *_ in made]
+
+    def search(ip):
+        at = bisect.bisect_right(starts, ip) - 1
+        return made[at][2:] if at >= 0 and ip <= made[at][1] else ("<unknown>", "<unknown>")
+
+    placed = geo_range_join(
+        spark.createDataFrame(visits, "id int, ip_num bigint"), spark.createDataFrame(made, PLACES)
+    )
+    assert {r.id: (r.city, r.country) for r in placed.collect()} == {i: search(ip) for i, ip in visits}
+    assert placed.count() == len(visits)
+
+
+def test_no_ranges_at_all(spark):
+    visits = spark.createDataFrame([(1, 5)], "id int, ip_num bigint")
+    placed = geo_range_join(visits, spark.createDataFrame([], PLACES))
+    assert rows(placed, "city", "country") == [("<unknown>", "<unknown>")]
 
 
 def test_status_counts_raw_events_after_the_epoch(spark):
