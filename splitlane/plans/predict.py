@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 from pyspark.ml import Model, Transformer
@@ -13,6 +14,7 @@ from splitlane.functions.hashing import draw_below
 from splitlane.functions.identity import enrich_identity
 from splitlane.operators.assign import chosen, pick_best, random_assign
 from splitlane.operators.features import CategoryCoder, identity_features
+from splitlane.operators.filters import union_sources
 from splitlane.operators.geo import geo_range_join
 from splitlane.operators.lookup import lookup_join
 from splitlane.operators.trees import class_positions, load_model, score_options
@@ -23,6 +25,18 @@ from splitlane.sinks.tables import by_app
 # Modelled apps decided by one plan; more apps become more plans, not a bigger one.
 APPS_PER_PLAN = 16
 
+
+@dataclass(frozen=True)
+class AppModel:
+    """An app that decides by score: where its model is and how wide its config is."""
+
+    app_id: str
+    model_path: str
+    model_type: str
+    n_descriptors: int
+    n_variations: int
+
+
 ModelLoader = Callable[[str, str], tuple[Model, DataFrame]]
 
 
@@ -50,27 +64,38 @@ def answers() -> Column:
     return F.col("run_state").isin(NO_DATA, PREDICTING, TRAINING)
 
 
-def _variation_codes(mapping: DataFrame, pos: int, count: int, keys: list[str]) -> list[Column]:
-    """Code of each variation of one app: a literal, or a drawn seen code for an unseen one.
-
-    Reads at most one mapping row per variation of the app.
-    """
-    rows = mapping.where(F.col("pos") == pos).select("raw", "code", "arity").collect()
-    if not rows:
+def _code_columns(codes: dict[int, int], arity: int, pos: int, count: int) -> list[Column]:
+    """Code of each variation of one app: a literal, or a drawn seen code for an unseen one."""
+    if not codes:
         return [F.lit(float(i)) for i in range(count)]
-    codes = {int(r.raw): r.code for r in rows}
+    keys = [F.col("app_id"), F.col("event_id"), F.lit(pos)]
     return [
-        F.lit(float(codes[i]))
-        if i in codes
-        else draw_below(F.lit(rows[0].arity), *[F.col(k) for k in keys], F.lit(pos), F.lit(i))
+        F.lit(float(codes[i])) if i in codes else draw_below(F.lit(arity), *keys, F.lit(i))
         for i in range(count)
     ]
 
 
+def variation_codes(mapping: DataFrame, apps: list[AppModel]) -> dict[str, list[Column]]:
+    """Code columns of the variations of the given apps, from one row per variation."""
+    places = {a.app_id: a.n_descriptors for a in apps}
+    wanted = F.struct("app_id", "pos").isin(
+        [F.struct(F.lit(app_id), F.lit(pos)) for app_id, pos in places.items()]
+    )
+    seen: dict[str, dict[int, int]] = {a: {} for a in places}
+    arities: dict[str, int] = {a: 0 for a in places}
+    for r in mapping.where(wanted).select("app_id", "raw", "code", "arity").collect():
+        seen[r.app_id][int(r.raw)] = r.code
+        arities[r.app_id] = r.arity
+    return {
+        a.app_id: _code_columns(seen[a.app_id], arities[a.app_id], a.n_descriptors, a.n_variations)
+        for a in apps
+    }
+
+
 def coded_identity(
     requests: DataFrame, mapping: DataFrame, descriptors: int, extractor: Transformer | None = None
 ) -> DataFrame:
-    """Coded identity features of one app's requests; unseen values become a seen code.
+    """Coded identity features of configured requests; unseen values become a seen code.
 
     Another ``extractor`` may turn the hashed ``features`` into the model's.
     """
@@ -81,22 +106,28 @@ def coded_identity(
     return coder.transform(hashed)
 
 
-def score_app(
+def score_apps(
     requests: DataFrame,
-    model: Model,
+    apps: list[AppModel],
+    models: dict[str, Model],
     mapping: DataFrame,
-    descriptors: int,
-    variations: int,
     extractor: Transformer | None = None,
-) -> DataFrame:
-    """Add ``scores``, one per variation, to the configured requests of one app.
+) -> list[DataFrame]:
+    """Per app, its configured requests with ``scores``, one per variation.
 
-    ``features`` holds the coded identity. Works for regressors and, by the
-    chance of conversion, for classifiers.
+    Identities of all the apps are coded together; then each app's model is
+    applied to its own rows. Works for regressors and, by the chance of
+    conversion, for classifiers.
     """
-    coded = coded_identity(requests, mapping, descriptors, extractor)
-    options = _variation_codes(mapping, descriptors, variations, ["app_id", "event_id"])
-    return score_options(model, coded, options)
+    width = max(a.n_descriptors for a in apps)
+    coded = coded_identity(requests, mapping, width, extractor)
+    options = variation_codes(mapping, apps)
+    return [
+        score_options(
+            models[a.app_id], coded.where(F.col("app_id") == a.app_id), options[a.app_id]
+        ).drop("features")
+        for a in apps
+    ]
 
 
 def classify_app(
@@ -109,7 +140,7 @@ def classify_app(
     )
 
 
-def _modelled(apps: DataFrame) -> Iterator[tuple]:
+def modelled_apps(apps: DataFrame) -> Iterator[AppModel]:
     """Config sizes and model place of each app that scores, one at a time."""
     rows = apps.where(uses_model()).select(
         "app_id",
@@ -118,15 +149,20 @@ def _modelled(apps: DataFrame) -> Iterator[tuple]:
         F.size("descriptors").alias("n_descriptors"),
         F.size("variations").alias("n_variations"),
     )
-    return rows.toLocalIterator()
+    return (AppModel(*r) for r in rows.toLocalIterator())
 
 
-def _decide_scored(configured: DataFrame, app, loader: ModelLoader) -> DataFrame:
-    model, mapping = loader(app.model_path, app.model_type)
-    own = configured.where(F.col("app_id") == app.app_id)
-    return pick_best(
-        score_app(own, model, mapping, app.n_descriptors, app.n_variations).drop("features")
-    )
+def _decide_scored(configured: DataFrame, apps: list[AppModel], loader: ModelLoader) -> DataFrame:
+    """Decisions of a few apps' requests by their models."""
+    loaded = {a.app_id: loader(a.model_path, a.model_type) for a in apps}
+    own = [
+        mapping.where(F.col("app_id") == app_id).select("app_id", "pos", "raw", "code", "arity")
+        for app_id, (_, mapping) in loaded.items()
+    ]
+    models = {app_id: model for app_id, (model, _) in loaded.items()}
+    requests = configured.where(F.col("app_id").isin(list(loaded)))
+    scored = score_apps(requests, apps, models, union_sources(own))
+    return union_sources([_decision_columns(pick_best(s)) for s in scored])
 
 
 def _decision_columns(df: DataFrame) -> DataFrame:
@@ -152,17 +188,13 @@ def decision_plans(
         random_assign(configured.where(~F.col("_scores") & (F.size("variations") > 0)))
     )
     scored = configured.where("_scores")
-    modelled = _modelled(apps)
+    modelled = modelled_apps(apps)
     batch = list(islice(modelled, APPS_PER_PLAN))
     if len(batch) == APPS_PER_PLAN:
         # Many plans: let each read the folders of its own apps only.
         scored = settle(by_app(scored), "requests", ("app_id",))
     while batch:
-        parts = [_decision_columns(_decide_scored(scored, app, loader)) for app in batch]
-        plan = parts[0]
-        for part in parts[1:]:
-            plan = plan.unionByName(part)
-        yield plan
+        yield _decide_scored(scored, batch, loader)
         batch = list(islice(modelled, APPS_PER_PLAN))
 
 

@@ -648,7 +648,8 @@ def _option_scores(spark: SparkSession, sf: str, spec: TreeSpec) -> DataFrame:
     apps, loader = _trained_registry(spark, sf, spec)
     model, codes = loader("", "")
     configured = features.config_join(filters.filter_app(_requests(spark, sf), APP_1), apps)
-    scored = predict.score_app(configured, model, codes, 3, 2)
+    scoring = list(predict.modelled_apps(apps))
+    scored = predict.score_apps(configured, scoring, {APP_1: model}, codes)[0]
     return scored.select(
         "event_id", *[F.get("scores", F.lit(i)).alias(f"score_{i}") for i in range(2)]
     )
