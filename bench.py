@@ -42,11 +42,10 @@ HEADLINE = (
     "append_start",
     "stream_session_sample",
     "train_and_evaluate",
-    "score_regression",
     "predict_and_log",
 )
 # Queries that train models run once: their time is in the fits, not in warming up.
-ONCE = ("train_and_evaluate", "score_regression", "predict_and_log")
+ONCE = ("train_and_evaluate", "predict_and_log")
 
 
 def timed(spark, name: str, sf_dir: str) -> float:
