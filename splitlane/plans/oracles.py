@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-PAD = "lpad({}, 24, '0')"
-
 # --- shared views, the SQL of ``plans.views`` --------------------------------------------------
 
 BASE = """
@@ -262,7 +260,7 @@ IP_TEXT = (
 )
 
 
-def enriched_identity(columns: str, address: str, stamp: str, plain: dict[str, str]) -> str:
+def enriched_identity(address: str, stamp: str, plain: dict[str, str]) -> str:
     """Sorted text of an enriched identity; ``plain`` gives its own values by name."""
     place = lambda name: f"CASE WHEN {address} IS NOT NULL THEN '{name}=' || coalesce({name}, '<unknown>') END"
     ip = f"'ip=' || CASE WHEN {address} IS NOT NULL THEN {IP_TEXT.format(address)} ELSE '0.0.0.0' END"
@@ -443,7 +441,7 @@ FROM customer""",
     ),
     "identity_enrich": _with(
         AB + GEO,
-        f"""SELECT event_id, {enriched_identity('', 'ip', 'ts_ms', PLAIN)} AS identity
+        f"""SELECT event_id, {enriched_identity('ip', 'ts_ms', PLAIN)} AS identity
             FROM (SELECT ab.*, {KNOWN_IP} AS ip FROM ab) x
             LEFT JOIN ranges ON ip BETWEEN ip_from AND ip_to""",
     ),
@@ -590,7 +588,7 @@ assigned AS (
     "predict_and_log": _with(
         AB + GEO,
         f"""SELECT event_id, app_id, 1707000000000 AS ts_ms, session,
-              {enriched_identity('', 'ip_num', 'ts_ms', PLAIN)} AS identity,
+              {enriched_identity('ip_num', 'ts_ms', PLAIN)} AS identity,
               CASE WHEN app_id = '000000000000000000000001' THEN 'Predicted' ELSE 'Random' END AS kind,
               true AS known
             FROM ab LEFT JOIN ranges ON ip_num BETWEEN ip_from AND ip_to""",
@@ -634,7 +632,7 @@ placed AS (
         BODIES + GEO,
         f"""SELECT event_id, app_id, ts_ms, session, identity, variation, kind, etype FROM (
               SELECT event_id, app_id, true_ts + 250 AS ts_ms, s AS session,
-                {enriched_identity('', 'ip', 'coalesce(t, 0)', {
+                {enriched_identity('ip', 'coalesce(t, 0)', {
                     'day': "CASE WHEN k % 11 <> 4 THEN 'day=' || day END",
                     'nation': "CASE WHEN k % 11 <> 4 THEN 'nation=' || nation END",
                     'segment': "CASE WHEN k % 11 <> 4 THEN 'segment=' || segment END",
@@ -652,7 +650,7 @@ placed AS (
     "stream_predict": _with(
         AB + GEO,
         f"""SELECT event_id, app_id, ts_ms + 250 AS ts_ms, session,
-              {enriched_identity('', 'ip_num', 'ts_ms', PLAIN)} AS identity,
+              {enriched_identity('ip_num', 'ts_ms', PLAIN)} AS identity,
               CASE WHEN {draw('app_id', 'session', "'assign'")} % 2 = 0 THEN '000000000000000000000000'
                 ELSE '000000000000000000000001' END AS variation, 'Random' AS kind
             FROM ab LEFT JOIN ranges ON ip_num BETWEEN ip_from AND ip_to""",

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import functions as F
-
-from splitlane.functions.ids import pad_id
-from splitlane.schema import DESCRIPTORS, REGISTRY, VARIATIONS
+from splitlane.schema import REGISTRY
 
 APP = "0" * 23 + "1"
 EVENTS = (

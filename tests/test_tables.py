@@ -2,7 +2,7 @@ from frames import APP, app, events
 from pyspark.sql import functions as F
 
 from splitlane.operators.sessions import session_sample
-from splitlane.schema import FINISH_EVENTS, REQUESTS, START_EVENTS
+from splitlane.schema import REQUESTS, START_EVENTS
 from splitlane.session import scratch_path, settle
 from splitlane.sinks import tables as sinks
 from splitlane.sources import tables as sources
