@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlane.llm.substring_dedup import substring_dedup
+from splitlane.llm.suffix_dedup import suffix_dedup
 from splitlane.llm.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +23,9 @@ def query(work: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = substring_dedup(read_table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffix_dedup(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -29,7 +29,7 @@ from splitlane.llm import arrays as A
 from splitlane.llm.tables import text_key
 from splitlane.session import settle
 
-SEGMENTS = "doc_id long, tkey long, start long, n int, anchor long, seg long"
+SEGMENTS = "doc_id long, tkey long, start long, n int, off int, anchor long, seg long"
 _POSITION_BITS = 22
 _CHUNK = 1 << 21  # windows of one text that are looked at together
 
@@ -88,7 +88,7 @@ def _pieces(first: np.ndarray, width: int) -> Iterator[tuple[int, int, list[tupl
 
 
 def segments_of(tokens: np.ndarray, first: np.ndarray, w: Windows) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor, hash of the tokens) of every segment of a batch."""
+    """(text, first window, windows, place of the anchor, anchor, hash of the tokens) of every segment."""
     out: list[tuple[np.ndarray, ...]] = []
     for lo, hi, parts in _pieces(first, w.width):
         if hi - lo < w.width:
@@ -115,12 +115,13 @@ def segments_of(tokens: np.ndarray, first: np.ndarray, w: Windows) -> tuple[np.n
                 texts,
                 heads + lo - first[texts],
                 n,
+                best[heads] - heads,
                 grams[best[heads]],
                 A.span_hashes(piece, w.base, heads, heads + n + w.width - 1) + n.astype(np.uint64),
             )
         )
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -128,7 +129,7 @@ def _segment_rows(w: Windows) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, "text"):
             tokens, first = w.tokens(*A.text_buffers(batch.column(2)))
-            text, start, n, anchor, seg = segments_of(tokens, first, w)
+            text, start, n, place, anchor, seg = segments_of(tokens, first, w)
             ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -136,10 +137,11 @@ def _segment_rows(w: Windows) -> Callable:
                     pa.array(ids[1][text], pa.int64()),
                     pa.array(start, pa.int64()),
                     pa.array(n, pa.int32()),
+                    pa.array(place, pa.int32()),
                     pa.array(anchor.view(np.int64)),
                     pa.array(seg.view(np.int64)),
                 ],
-                ["doc_id", "tkey", "start", "n", "anchor", "seg"],
+                ["doc_id", "tkey", "start", "n", "off", "anchor", "seg"],
             )
 
     return rows
@@ -165,7 +167,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def find_repeats(docs: DataFrame, w: Windows) -> Repeats:
     """Segments of ``docs`` (as of keyed()) with a repeated anchor.
 
-    Both results hold doc_id, tkey, start, n, anchor, seg; ``even`` also the smallest
+    Both results hold doc_id, tkey, start, n, off, anchor, seg; ``even`` also the smallest
     doc_id of its anchor.
     """
     segs = settle(docs.mapInArrow(_segment_rows(w), SEGMENTS), "segments")
