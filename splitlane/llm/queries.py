@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitlane.llm.bpe import bpe_roundtrip, load_vocabulary
 from splitlane.llm.substring_dedup import substring_dedup
 from splitlane.llm.suffix_dedup import suffix_dedup
 from splitlane.llm.tables import read_table
 
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -19,6 +22,12 @@ def query(work: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return work
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = substring_dedup(read_table(spark, sf, "documents").select("doc_id", "text"))
@@ -29,3 +38,15 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = suffix_dedup(read_table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    coded = bpe_roundtrip(docs, load_vocabulary(vocabulary_path()))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
