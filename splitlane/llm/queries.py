@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlane.llm.bpe import bpe_roundtrip, load_vocabulary
+from splitlane.llm.mixing import mix_sources, mixing_plan, sized
 from splitlane.llm.substring_dedup import substring_dedup
 from splitlane.llm.suffix_dedup import suffix_dedup
 from splitlane.llm.tables import read_table
+from splitlane.session import settle
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -50,3 +52,13 @@ def op10_bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    rows = settle(sized(docs).drop("text"), "rows")
+    mixed = mix_sources(rows, mixing_plan(rows))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
