@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlane.llm.bpe import bpe_roundtrip, load_vocabulary
+from splitlane.llm.language import identify_language
 from splitlane.llm.mixing import mix_sources, mixing_plan, sized
 from splitlane.llm.substring_dedup import substring_dedup
 from splitlane.llm.suffix_dedup import suffix_dedup
@@ -62,3 +63,9 @@ def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+@query
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    found = identify_language(read_table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
