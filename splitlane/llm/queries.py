@@ -13,6 +13,7 @@ from splitlane.llm.mixing import mix_sources, mixing_plan, sized
 from splitlane.llm.substring_dedup import substring_dedup
 from splitlane.llm.suffix_dedup import suffix_dedup
 from splitlane.llm.tables import read_table
+from splitlane.llm.toxicity import rate_toxicity
 from splitlane.session import settle
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,3 +70,9 @@ def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     found = identify_language(read_table(spark, sf, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return rate_toxicity(docs, read_table(spark, sf, "labels"))
