@@ -11,11 +11,10 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +26,7 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-BATCH_BYTES = 32 << 20
-RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+BATCH_BYTES = 8 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -39,53 +37,30 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-@dataclass(frozen=True)
 class Vocabulary:
-    """The contents of a byte-level BPE tokenizer file."""
-
-    content: str
-
-    @cached_property
-    def _parsed(self) -> dict:
-        return json.loads(self.content)
-
-    @cached_property
-    def specials(self) -> dict[str, int]:
-        return {t["content"]: t["id"] for t in self._parsed["added_tokens"]}
-
-    @cached_property
-    def byte_ids(self) -> np.ndarray:
-        vocab = self._parsed["model"]["vocab"]
-        return np.array([vocab[c] for c in _byte_letters()], np.int64)
-
-    @cached_property
-    def merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted pair keys with their ranks, and the id that each rank makes."""
-        vocab, pairs = self._parsed["model"]["vocab"], self._parsed["model"]["merges"]
+    """The tables of a byte-level BPE tokenizer file, given its content."""
+
+    def __init__(self, content: str) -> None:
+        self.content = content
+        parsed = json.loads(content)
+        vocab, pairs = parsed["model"]["vocab"], parsed["model"]["merges"]
+        letters = _byte_letters()
+        self.specials: dict[str, int] = {t["content"]: t["id"] for t in parsed["added_tokens"]}
+        self.byte_ids = np.array([vocab[c] for c in letters], np.int64)
         split = [tuple(p.split(" ")) if isinstance(p, str) else tuple(p) for p in pairs]
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in split], np.int64)
-        made = np.array([vocab[a + b] for a, b in split], np.int64)
         order = np.argsort(keys, kind="stable")
-        return keys[order], order, made
-
-    @cached_property
-    def token_bytes(self) -> dict[int, bytes]:
-        of = {c: b for b, c in enumerate(_byte_letters())}
-        plain = {i: bytes(of[c] for c in t) for t, i in self._parsed["model"]["vocab"].items()}
-        return plain | {i: t.encode() for t, i in self.specials.items()}
-
-    @cached_property
-    def pieces(self):
-        import regex
-
-        return regex.compile(PATTERN)
-
-    @cached_property
-    def special_pattern(self):
-        import regex
-
-        found = sorted(self.specials, key=len, reverse=True)
-        return regex.compile("|".join(map(regex.escape, found))) if found else None
+        #: Sorted pair keys with their ranks, and the id that each rank makes.
+        self.merges = keys[order], order, np.array([vocab[a + b] for a, b in split], np.int64)
+        of = {c: b for b, c in enumerate(letters)}
+        self.token_table = [b""] * (max([*vocab.values(), *self.specials.values()]) + 1)
+        for token, i in vocab.items():
+            self.token_table[i] = bytes(of[c] for c in token)
+        for token, i in self.specials.items():
+            self.token_table[i] = token.encode()
+        self.pieces = regex.compile(PATTERN)
+        longest_first = sorted(self.specials, key=len, reverse=True)
+        self.special_pattern = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -225,50 +200,26 @@ def _vocabulary(sent) -> Vocabulary:
     return _loaded[id(sent)]
 
 
-def _groups(column: pa.Array) -> Iterator[pa.Array]:
-    for part in A.slices([pa.RecordBatch.from_arrays([column], ["text"])], "text", BATCH_BYTES):
-        yield part.column(0)
-
-
-def bpe_encode(text: Column, vocabulary: Vocabulary, sent=None) -> Column:
-    """A struct of ``ids`` (little-endian unsigned 32-bit numbers) and ``n_tokens``; null is empty."""
-    sent = sent or SparkSession.active().sparkContext.broadcast(vocabulary.content)
+def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
+    """The text of token ids; bytes that aren't UTF-8 become U+FFFD."""
+    return b"".join(map(vocabulary.token_table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
-    @F.arrow_udf(RESULT)
-    def encode(column: pa.Array) -> pa.Array:
-        ids = [x for part in _groups(column) for x in encode_texts(_vocabulary(sent), part.to_pylist())]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([x.tobytes() for x in ids], pa.binary()),
-                pa.array([len(x) for x in ids], pa.int64()),
-            ],
-            ["ids", "n_tokens"],
-        )
 
-    return encode(F.coalesce(text, F.lit("")))
-
-
-def bpe_decode(ids: Column, vocabulary: Vocabulary, sent=None) -> Column:
-    """The text of ids as bpe_encode() gives them; bytes that aren't UTF-8 become U+FFFD."""
-    sent = sent or SparkSession.active().sparkContext.broadcast(vocabulary.content)
+def bpe_decode(ids: Column, vocabulary: Vocabulary) -> Column:
+    """The text of a binary column of ids as bpe_roundtrip() gives them; null stays null."""
+    sent = SparkSession.active().sparkContext.broadcast(vocabulary.content)
 
     @F.arrow_udf(T.StringType())
     def decode(column: pa.Array) -> pa.Array:
-        parts = _vocabulary(sent).token_bytes
-        table = [parts[i] for i in range(max(parts) + 1)]
-        return pa.array(
-            [
-                b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]).decode("utf-8", "replace")
-                for x in column.to_pylist()
-            ],
-            pa.string(),
-        )
+        known = _vocabulary(sent)
+        rows = column.to_pylist()
+        return pa.array([None if x is None else decode_ids(known, np.frombuffer(x, "<u4")) for x in rows], pa.string())
 
     return decode(ids)
 
 
 def bpe_roundtrip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``docs`` with ``ids``, ``n_tokens`` and ``decoded``.
+    """``docs`` with ``ids`` (little-endian unsigned 32-bit numbers), ``n_tokens`` and ``decoded``.
 
     Null and empty texts have no ids. A text may be of any length, but is encoded in one
     piece. Strings of special tokens in a text become those tokens. Rows are treated one
@@ -277,7 +228,21 @@ def bpe_roundtrip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     plain = docs.drop("ids", "n_tokens", "decoded")
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary.content)
-    encoded = plain.withColumn("_bpe", bpe_encode(F.col("text"), vocabulary, sent)).select(
-        *plain.columns, "_bpe.ids", "_bpe.n_tokens"
-    )
-    return encoded.withColumn("decoded", bpe_decode(F.col("ids"), vocabulary, sent))
+    at = plain.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _vocabulary(sent)
+        for batch in A.slices(batches, "text", BATCH_BYTES):
+            ids = encode_texts(known, batch.column(at).fill_null("").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns,
+                    pa.array([x.tobytes() for x in ids], pa.binary()),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([decode_ids(known, x) for x in ids], pa.string()),
+                ],
+                [*batch.schema.names, "ids", "n_tokens", "decoded"],
+            )
+
+    results = [("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("decoded", T.StringType())]
+    return plain.mapInArrow(rows, T.StructType(plain.schema.fields + [T.StructField(*r) for r in results]))
