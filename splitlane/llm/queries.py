@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlane.llm.bpe import bpe_roundtrip, load_vocabulary
+from splitlane.llm.fingerprints import fingerprint_documents
 from splitlane.llm.language import identify_language
 from splitlane.llm.mixing import mix_sources, mixing_plan, sized
 from splitlane.llm.substring_dedup import substring_dedup
@@ -76,3 +77,8 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return rate_toxicity(docs, read_table(spark, sf, "labels"))
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint_documents(read_table(spark, sf, "documents").select("doc_id", "text"))
