@@ -81,7 +81,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches, column: str, most: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``most`` bytes of text, one text at least."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -27,7 +27,7 @@ from splitlane.session import settle
 
 WIDTH = 200
 GRAM = 80
-BUCKET_PIECES = 30_000
+BUCKET_PIECES = 10_000
 SUFFIXES = "lead binary, seg long, anchor long, off int, n int, times long, piece binary"
 FOUND = "anchor long, seg long, at int, n int, window long, times long"
 SPAN_LIST = "array<struct<start:bigint,n:bigint>>"
