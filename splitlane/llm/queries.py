@@ -11,6 +11,7 @@ from splitlane.llm.bpe import bpe_roundtrip, load_vocabulary
 from splitlane.llm.fingerprints import fingerprint_documents
 from splitlane.llm.language import identify_language
 from splitlane.llm.mixing import mix_sources, mixing_plan, sized
+from splitlane.llm.near_dedup import near_dedup
 from splitlane.llm.neighbours import nearest_neighbours
 from splitlane.llm.substring_dedup import substring_dedup
 from splitlane.llm.suffix_dedup import suffix_dedup
@@ -88,3 +89,8 @@ def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_neighbours(read_table(spark, sf, "embeddings"), every=100)
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup(read_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "class_id")
