@@ -13,6 +13,7 @@ from splitlane.llm.language import identify_language
 from splitlane.llm.mixing import mix_sources, mixing_plan, sized
 from splitlane.llm.near_dedup import near_dedup
 from splitlane.llm.neighbours import nearest_neighbours
+from splitlane.llm.quality import importance_resample
 from splitlane.llm.substring_dedup import substring_dedup
 from splitlane.llm.suffix_dedup import suffix_dedup
 from splitlane.llm.tables import read_table
@@ -94,3 +95,9 @@ def op2_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup(read_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+@query
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return importance_resample(docs, read_table(spark, sf, "labels"))
