@@ -5,8 +5,8 @@ string of ``width`` bytes has the same anchor at the same place in all its
 occurrences, so no repeat is missed. Spark's sampled splitters range-partition these
 suffixes by their leading bytes; each bucket sorts its suffixes, and the reversed
 bytes before them, by multikey quicksort, and lengths of common prefixes of
-neighbours tell which strings agree. The first and the last group of a bucket may go
-on in the buckets beside it, so their strings are compared across boundaries.
+neighbours tell which strings agree. A group of equal leading bytes too large for one
+bucket is cut into several, and its strings are compared across their boundaries.
 """
 
 from __future__ import annotations
@@ -155,33 +155,37 @@ def _bucket(width: int, gram: int):
         ends = np.frombuffer(offsets, np.int64)[piece.offset : piece.offset + len(piece) + 1]
         data = np.frombuffer(raw, np.uint8)
         place, n, times = (column(k).astype(np.int64) for k in ("off", "n", "times"))
-        anchor, seg, lead = column("anchor"), column("seg"), column("lead")
-        edge = (lead == lead.min()) | (lead == lead.max())
+        anchor, seg, parts = column("anchor"), column("seg"), column("parts")
         at_piece, at = repeated_windows(data, ends, place, n, times, width, gram)
-        inside = ~edge[at_piece]
-        at_piece, at = at_piece[inside], at[inside]
         cells = np.sort(at_piece * (1 << 20) + at)
         heads = np.flatnonzero(np.concatenate([[True], np.diff(cells) != 1])) if len(cells) else np.zeros(0, np.int64)
         run = np.diff(np.append(heads, len(cells)))
         of, first = cells[heads] >> 20, cells[heads] & ((1 << 20) - 1)
-        outer = np.flatnonzero(edge)
+        # Strings of groups cut into parts go to the comparison across boundaries: those that
+        # are single in this bucket to be told whether they repeat, of the others one each.
+        outer = np.flatnonzero(parts > 1)
         where = A.grouped_ranges(np.zeros(len(outer), np.int64), n[outer])
         back = np.repeat(outer, n[outer])
         base, top = int(ends[0]), int(ends[-1])
         hashes = A.window_hashes(data[base:top].astype(np.uint64) + np.uint64(1), A.BYTE_BASE, width)
         window = hashes[ends[back] - base + where].view(np.int64)
+        again = np.isin(back * (1 << 20) + where, cells)
+        one = np.zeros(len(window), bool)
+        one[np.unique(window, return_index=True)[1]] = True
+        sent = ~again | one
+        back, where, window, told = back[sent], where[sent], window[sent], again[sent]
         both = lambda a, b: pa.array(np.concatenate([a, b]))
         yield pa.RecordBatch.from_arrays(
             [
                 both(anchor[of], anchor[back]),
                 both(seg[of], seg[back]),
                 both(first.astype(np.int32), where.astype(np.int32)),
-                both(run.astype(np.int32), np.ones(len(back), np.int32)),
+                both(run.astype(np.int32), np.where(told, 0, 1).astype(np.int32)),
                 pa.array(
                     np.concatenate([np.zeros(len(of), np.int64), window]),
                     mask=np.arange(len(of) + len(back)) < len(of),
                 ),
-                both(np.full(len(of), 2), times[back]),
+                both(np.full(len(of), 2), np.where(told, 2, times[back])),
             ],
             ["anchor", "seg", "at", "n", "window", "times"],
         )
@@ -199,16 +203,24 @@ def repeated_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
     suffixes = settle(
         with_text.select("pieces", "text").mapInArrow(_suffix_rows(width, gram), SUFFIXES), "suffixes"
     )
+    groups = suffixes.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"))
+    large = groups.filter(F.col("all") > BUCKET_PIECES).select(
+        "anchor", (F.floor(F.col("all") / BUCKET_PIECES) + 1).alias("parts")
+    )
+    cut = suffixes.join(large, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     buckets = max(suffixes.count() // BUCKET_PIECES + 1, 1)
     sorted_out = settle(
-        suffixes.repartitionByRange(buckets, "lead", "seg").mapInArrow(_bucket(width, gram), FOUND), "found"
+        cut.repartitionByRange(buckets, "lead", F.pmod("seg", "parts"))
+        .select("seg", "anchor", "off", "n", "times", "parts", "piece")
+        .mapInArrow(_bucket(width, gram), FOUND),
+        "found",
     )
     edges = sorted_out.filter("window is not null")
     across = settle(edges.groupBy("anchor", "window").agg(F.sum("times").alias("all")).filter("all > 1"), "across")
     per_piece = settle(
         sorted_out.filter("window is null")
         .select("anchor", "seg", "at", "n")
-        .unionByName(edges.join(across, ["anchor", "window"]).select("anchor", "seg", "at", "n"))
+        .unionByName(edges.filter("n > 0").join(across, ["anchor", "window"]).select("anchor", "seg", "at", "n"))
         .groupBy("anchor", "seg")
         .agg(F.collect_list(F.struct("at", "n")).alias("runs")),
         "runs",
