@@ -7,6 +7,7 @@ repeated rows are treated as the operators say.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from splitlane.llm.mixing import mix_sources, mixing_plan, sized
 from splitlane.llm.near_dedup import near_dedup
 from splitlane.llm.queries import vocabulary_path
 from splitlane.llm.substring_dedup import substring_dedup
-from splitlane.llm.tables import read_table
+from splitlane.llm.tables import DOCUMENT_COLUMNS, read_table
 from splitlane.session import settle
 
 LEAST_SURE = 0.4  # documents whose language is less likely than this are rejected
@@ -75,11 +76,26 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_extras(stage: Stage) -> Stage:
+    """Carries columns that ``documents`` hasn't past the stage, whatever their names."""
+
+    @functools.wraps(stage)
+    def carried(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        extra = [c for c in docs.columns if c not in DOCUMENT_COLUMNS]
+        if not extra:
+            return stage(spark, docs, sf_dir)
+        own = [c for c in docs.columns if c in DOCUMENT_COLUMNS]
+        out = stage(spark, docs.select(*own, F.struct(*extra).alias("_extra")), sf_dir)
+        return out.select(*[F.col("_extra").getField(c).alias(c) if c in extra else F.col(c) for c in docs.columns])
+
+    return carried
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language", language_stage),
-    ("near_dedup", near_dedup_stage),
-    ("substring_dedup", substring_dedup_stage),
-    ("mixing", mixing_stage),
+    ("language", _with_extras(language_stage)),
+    ("near_dedup", _with_extras(near_dedup_stage)),
+    ("substring_dedup", _with_extras(substring_dedup_stage)),
+    ("mixing", _with_extras(mixing_stage)),
     ("bpe", bpe_stage),
 ]
 ORACLE_SQL = None

@@ -162,10 +162,12 @@ def fingerprint_documents(docs: DataFrame, low: float = LOW, high: float = HIGH)
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("text", 256).alias("text_sha256"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(entries).alias("e"),
-    ).select("*", "e.side", "e.term").drop("e")
+        entries.alias("entries"),
+    )
     own = ["doc_id", "tkey", "n_chars", "text_sha256", "edited_sha256"]
-    term_set = lambda side: F.array_sort(
+    # Exploded in a step of its own: what stands beside explode() is worked out for every term.
+    terms = terms.select(*own, F.explode("entries").alias("e")).select(*own, "e.side", "e.term")
+    term_set = lambda side: F.sort_array(
         F.array_remove(F.collect_set(F.when(F.col("side") == side, F.col("term"))), 0)
     )
     sets = lookup_join(terms, marked, "term", "inner", small=small).groupBy(*own).agg(

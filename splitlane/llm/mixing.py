@@ -88,9 +88,13 @@ def mix_sources(docs: DataFrame, plan: DataFrame) -> DataFrame:
     Null sources are one source, empty texts are taken with size 0, rows sharing a doc_id
     are taken together, and rows without one share the hash of the empty id. Nothing is
     sorted; the same documents are taken again when a task is repeated.
+    Columns named like the three results are replaced.
     """
     plain = docs.drop("source_size", "target", "copies")
-    keyed = plain.withColumn("grp", _group(F.col("source"))).withColumn("_hash", hash60(F.col("doc_id")))
-    joined = lookup_join(keyed, plan, "grp", "left", small=fits_broadcast(plan))
-    copies = F.col("whole") + (F.col("_hash") < F.col("cut")).cast("long")
-    return joined.withColumn("copies", copies).select(*plain.columns, "source_size", "target", "copies")
+    lookup = plan.withColumnsRenamed({c: f"_mix_{c}" for c in plan.columns})
+    keyed = plain.withColumns({"_mix_grp": _group(F.col("source")), "_mix_hash": hash60(F.col("doc_id"))})
+    joined = lookup_join(keyed, lookup, "_mix_grp", "left", small=fits_broadcast(plan))
+    copies = F.col("_mix_whole") + (F.col("_mix_hash") < F.col("_mix_cut")).cast("long")
+    return joined.select(
+        *plain.columns, F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), copies.alias("copies")
+    )

@@ -240,15 +240,17 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``threshold`` or more. Null and empty texts, and texts without a word, are classes of
     their own (class_id is their doc_id). Texts of fewer than five words are one shingle.
     One row of each class is_first; of equal rows with the smallest doc_id all are.
+    Columns named like the two results are replaced.
     """
     plain = docs.drop("class_id", "is_first")
-    classes = near_classes(docs, threshold).withColumnRenamed("tid", "_tid")
+    classes = near_classes(docs, threshold)
+    classes = classes.withColumnsRenamed({c: f"_near_{c}" for c in classes.columns})
     tid = F.unhex(F.md5(F.coalesce(plain["text"], F.lit(""))))
-    joined = plain.withColumn("_of", tid).join(classes, F.col("_of") == F.col("_tid"))
+    joined = plain.withColumn("_near_of", tid).join(classes, F.col("_near_of") == F.col("_near_tid"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("_of") == F.col("first_tid"))
+    first = F.col("doc_id").eqNullSafe(F.col("_near_class_id")) & (F.col("_near_of") == F.col("_near_first_tid"))
     return joined.select(
         *plain.columns,
-        F.when(worded, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(worded, F.col("_near_class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         (~worded | first).alias("is_first"),
     )
