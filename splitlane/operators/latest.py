@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitlane.operators.lookup import fits_broadcast, lookup_join
-from splitlane.schema import SAMPLE_CAP
 from splitlane.session import settle
 
 FINE_SPAN = 1 << 16
@@ -66,7 +65,7 @@ def _cut_in_two_steps(histogram: DataFrame, keys: list[str], n: int) -> DataFram
 
 def latest_n(
     events: DataFrame,
-    n: int | None = SAMPLE_CAP,
+    n: int | None = None,
     keys: tuple[str, ...] = ("app_id", "etype"),
     order: str = "event_id",
 ) -> DataFrame:

@@ -216,32 +216,6 @@ LATEST = """
     FROM {rows}) WHERE newest <= {n}"""
 
 
-def capped_sample(n: int) -> str:
-    """The sample of the latest starts and finishes."""
-    return (
-        AB
-        + f""",
-recent AS ({LATEST.format(rows='ab', n=n)}
-),
-sample AS (
-  SELECT s.*, EXISTS (SELECT 1 FROM recent f WHERE f.etype = 'finish' AND f.app_id = s.app_id
-                      AND f.session = s.session) AS goal
-  FROM (SELECT *, count(*) OVER (PARTITION BY app_id, session) AS n_start,
-          row_number() OVER (PARTITION BY app_id, session ORDER BY event_id DESC) AS rn
-        FROM recent WHERE etype = 'start') s
-  WHERE rn = 1
-)"""
-    )
-
-
-CAPPED_500 = (
-    capped_sample(500)
-    + FEATURES[len(SAMPLE):]
-    + features_of("sample", "vectors")
-    + supports_of("vectors", "supports")
-    + codes_of("supports", "codes")
-)
-
 SAMPLE_COLUMNS = f"app_id, session, event_id, {IDENTITY} AS identity, variation, n_start, goal"
 
 SCORES = (
@@ -309,6 +283,25 @@ SELECT a.app_id,
 FROM two_apps a LEFT JOIN eligible e ON a.app_id = e.app_id""",
 )
 
+DRAWN = (
+    f"(CASE WHEN {draw('app_id', 'session', "'assign'")} % 2 = 0 THEN '000000000000000000000000' "
+    "ELSE '000000000000000000000001' END)"
+)
+
+OPTION_SCORES = _with(AB, "SELECT event_id, app_id, 2 AS n_scores, true AS in_range, true AS agree FROM ab")
+
+
+def fitted(one_tree: bool) -> str:
+    """Parts of each app's sample; a single tree's scores sum up to the labels it was fitted on."""
+    total = ", CASE WHEN train THEN label_sum END AS score_sum" if one_tree else ""
+    return _with(
+        VECTORS,
+        f"""SELECT app_id, train, n, label_sum, true AS in_range, CASE WHEN train THEN true END AS near{total}
+            FROM (SELECT app_id, train, count(*) AS n, count(CASE WHEN goal THEN 1 END)::DOUBLE AS label_sum
+                  FROM (SELECT *, {unit('app_id', 'session')} < 0.7 AS train FROM vectors) GROUP BY 1, 2)""",
+    )
+
+
 WHO = "CASE WHEN session = '' THEN CAST(event_id AS VARCHAR) ELSE session END"
 
 ORACLES: dict[str, str] = {
@@ -493,7 +486,7 @@ FROM customer""",
         f"SELECT app_id, run_state, n_start, n_finish FROM ({STATUS.format(since='1705000000000')})",
     ),
     "session_sample": _with(SAMPLE, f"SELECT {SAMPLE_COLUMNS} FROM sample"),
-    "labelled_sample": _with(capped_sample(16384), f"SELECT {SAMPLE_COLUMNS} FROM sample"),
+    "labelled_sample": _with(SAMPLE, f"SELECT {SAMPLE_COLUMNS} FROM sample"),
     "retrain_eligible": _with(
         BASE + "," + TWO_APPS,
         f"""SELECT app_id, run_state, coalesce(predicting_from, 0) AS epoch, n_start, n_finish
@@ -570,7 +563,7 @@ assigned AS (
               CASE WHEN x.goal THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM vectors x""",
     ),
     "prepare_sample": _with(
-        CAPPED_500,
+        CODES,
         f"""SELECT x.app_id, x.session, {coded_columns('codes')},
               CASE WHEN x.goal THEN 1.0 ELSE 0.0 END::DOUBLE AS label,
               {unit('x.app_id', 'x.session')} < 0.7 AS train FROM vectors x""",
@@ -585,12 +578,35 @@ assigned AS (
     "model_roundtrip": _with(
         VECTORS, "SELECT app_id, count(*) AS n_scored, 0 AS n_different FROM vectors GROUP BY app_id"
     ),
+    "fit_dt_regressor": fitted(True),
+    "fit_dt_classifier": fitted(True),
+    "fit_rf_regressor": fitted(False),
+    "fit_rf_classifier": fitted(False),
+    "train_and_evaluate": _with(
+        VECTORS,
+        f"""SELECT app_id, 0 AS trained_at, count(*) AS sample_size,
+              round(count(CASE WHEN held AND goal THEN 1 END) / count(CASE WHEN held THEN 1 END)::DOUBLE, 9)
+                AS baseline_error, true AS rates_hold
+            FROM (SELECT *, {unit('app_id', 'session')} >= 0.7 AS held FROM vectors) GROUP BY app_id""",
+    ),
+    "score_regression": OPTION_SCORES,
+    "score_classification": OPTION_SCORES,
+    "choose_variation": _with(
+        AB,
+        f"""SELECT event_id, app_id, second AS predicted, CASE WHEN NOT second THEN drawn END AS drawn,
+              CASE WHEN second THEN true END AS best,
+              CASE WHEN NOT second THEN v.value END AS value
+            FROM (SELECT *, app_id = '000000000000000000000001' AS second, {DRAWN} AS drawn FROM ab)
+            JOIN (VALUES ('000000000000000000000000', 'value 0'), ('000000000000000000000001', 'value 1')) v(id, value)
+              ON v.id = drawn""",
+    ),
     "predict_and_log": _with(
         AB + GEO,
         f"""SELECT event_id, app_id, 1707000000000 AS ts_ms, session,
               {enriched_identity('ip_num', 'ts_ms', PLAIN)} AS identity,
               CASE WHEN app_id = '000000000000000000000001' THEN 'Predicted' ELSE 'Random' END AS kind,
-              true AS known
+              CASE WHEN app_id = '000000000000000000000000' THEN {DRAWN} END AS drawn,
+              CASE WHEN app_id = '000000000000000000000001' THEN true END AS best
             FROM ab LEFT JOIN ranges ON ip_num BETWEEN ip_from AND ip_to""",
     ),
     "apply_commands": _with(

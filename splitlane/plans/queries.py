@@ -37,7 +37,7 @@ from splitlane.operators.trees import (
 )
 from splitlane.plans import predict, train
 from splitlane.plans import views as V
-from splitlane.schema import FINISH, PREDICT, REQUESTS, SAMPLE_CAP, START, SUSPENDED
+from splitlane.schema import FINISH, PREDICT, PREDICTED, PREDICTING, REQUESTS, START, SUSPENDED
 from splitlane.session import scratch_path, settle
 from splitlane.sinks import tables as sinks
 from splitlane.sources import tables as sources
@@ -418,8 +418,8 @@ def session_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def labelled_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """The sample as training takes it: latest starts and finishes up to the cap, paired."""
-    return _sample_columns(train.labelled_sample(V.ab(spark, sf), SAMPLE_CAP))
+    """The sample as training takes it: all starts and finishes, paired."""
+    return _sample_columns(train.labelled_sample(V.ab(spark, sf)))
 
 
 @query
@@ -551,7 +551,7 @@ def remap_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prepare_sample(spark: SparkSession, sf: str) -> DataFrame:
-    prepared = train.prepare_sample(V.ab(spark, sf), V.two_apps(spark), LATEST)
+    prepared = train.prepare_sample(V.ab(spark, sf), V.two_apps(spark))
     return prepared.sample.select("app_id", "session", *_positions(), "label", "train")
 
 
@@ -560,15 +560,44 @@ def _app_ids(apps: DataFrame) -> list[str]:
 
 
 def _fitted(spec: TreeSpec, spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of each app's test sessions by a model fitted on its training sessions."""
+    """Each app's sessions scored by a model fitted on its training sessions, summed up by part.
+
+    A leaf gives the mean label of its training rows, so over the training part a single
+    tree's scores sum up to the labels. A forest's trees see other rows each: its sum is
+    near that of the labels.
+    """
     apps = V.two_apps(spark)
     prepared = train.prepare_sample(V.ab(spark, sf), apps)
     parts = []
     for app_id in _app_ids(apps):
         done = train.train_app(prepared, app_id, spec)
-        held_out = prepared.sample.where((F.col("app_id") == app_id) & ~F.col("train"))
-        parts.append(score_rows(done.model, held_out))
-    return filters.union_sources(parts).select("app_id", "session", "label", "score")
+        parts.append(score_rows(done.model, prepared.sample.where(F.col("app_id") == app_id)))
+    total, labels = F.sum("score"), F.sum("label")
+    near = F.abs(total - labels) <= 3 * F.sqrt(F.count(F.lit(1)))
+    return (
+        filters.union_sources(parts)
+        .groupBy("app_id", "train")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            labels.alias("label_sum"),
+            total.alias("_total"),
+            F.bool_and(F.col("score").between(0.0, 1.0)).alias("in_range"),
+            F.when(F.first("train"), near).alias("near"),
+        )
+        .select(
+            "app_id",
+            "train",
+            "n",
+            "label_sum",
+            "in_range",
+            "near",
+            *(
+                [F.when(F.col("train"), F.round("_total", 6)).alias("score_sum")]
+                if spec.model_type.startswith("tree")
+                else []
+            ),
+        )
+    )
 
 
 QUERIES["fit_dt_regressor"] = partial(_fitted, TREE_REGRESSOR)
@@ -579,9 +608,34 @@ QUERIES["fit_rf_classifier"] = partial(_fitted, FOREST_CLASSIFIER)
 
 @query
 def train_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
+    """The reports, with their rates held against the test sessions scored once more."""
     apps = V.two_apps(spark)
-    done = train.train_and_evaluate(V.ab(spark, sf), apps, _app_ids(apps))
-    return filters.union_sources([t.report for t in done])
+    prepared = train.prepare_sample(V.ab(spark, sf), apps)
+    reports, again = [], []
+    for app_id in _app_ids(apps):
+        done = train.train_app(prepared, app_id)
+        reports.append(done.report)
+        mine = prepared.sample.where((F.col("app_id") == app_id) & ~F.col("train"))
+        again.append(score_rows(done.model, mine))
+    said, right = F.col("score") >= 0.5, F.col("label") == 1
+    share = lambda part, whole: F.coalesce(
+        F.count_if(part) / F.nullif(F.count_if(whole), F.lit(0)), F.lit(float("nan"))
+    )
+    rates = filters.union_sources(again).groupBy("app_id").agg(
+        share(said != right, F.lit(True)).alias("_error"),
+        share(said & right, said).alias("_precision"),
+        share(said & right, right).alias("_recall"),
+    )
+    holds = [
+        (F.col(c) == F.col(f"_{c}")) | (F.isnan(c) & F.isnan(f"_{c}")) for c in ("error", "precision", "recall")
+    ]
+    return filters.union_sources(reports).join(rates, "app_id").select(
+        "app_id",
+        "trained_at",
+        "sample_size",
+        F.round("baseline_error", 9).alias("baseline_error"),
+        (holds[0] & holds[1] & holds[2]).alias("rates_hold"),
+    )
 
 
 @query
@@ -626,32 +680,81 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trained_registry(
-    spark: SparkSession, sf: str, spec: TreeSpec = TREE_REGRESSOR
+    spark: SparkSession, sf: str, spec: TreeSpec = TREE_REGRESSOR, app_ids: tuple[str, ...] = (APP_1,)
 ) -> tuple[DataFrame, predict.ModelLoader]:
-    """The two apps with a model fitted for the predicting one, and a loader for it."""
+    """The two apps, those named predicting with a model fitted for them, and a loader of the models."""
     apps = V.two_apps(spark)
     prepared = train.prepare_sample(V.ab(spark, sf), apps)
-    done = train.train_app(prepared, APP_1, spec)
-    codes = prepared.mapping.where(F.col("app_id") == APP_1)
+    fitted = {a: (train.train_app(prepared, a, spec).model, prepared.mapping.where(F.col("app_id") == a)) for a in app_ids}
 
     def loader(path: str, kind: str) -> tuple[Model, DataFrame]:
-        return done.model, codes
+        return fitted[path]
 
-    mine = F.col("app_id") == APP_1
     modelled = registry.update_where(
-        apps, mine, model_path=F.lit("in memory"), model_type=F.lit(spec.model_type)
+        apps,
+        F.col("app_id").isin(*app_ids),
+        run_state=F.lit(PREDICTING),
+        model_path=F.col("app_id"),
+        model_type=F.lit(spec.model_type),
     )
     return modelled, loader
 
 
-def _option_scores(spark: SparkSession, sf: str, spec: TreeSpec) -> DataFrame:
-    apps, loader = _trained_registry(spark, sf, spec)
-    model, codes = loader("", "")
-    configured = features.config_join(filters.filter_app(_requests(spark, sf), APP_1), apps)
+def _scored_both_ways(spark: SparkSession, sf: str, apps: DataFrame, loader: predict.ModelLoader) -> DataFrame:
+    """Requests of the modelled apps with ``scores``, and ``singly``: the same from one row per variation."""
     scoring = list(predict.modelled_apps(apps))
-    scored = predict.score_apps(configured, scoring, {APP_1: model}, codes)[0]
-    return scored.select(
-        "event_id", *[F.get("scores", F.lit(i)).alias(f"score_{i}") for i in range(2)]
+    loaded = {a.app_id: loader(a.model_path, a.model_type) for a in scoring}
+    models = {app_id: model for app_id, (model, _) in loaded.items()}
+    codes = settle(filters.union_sources([mapping for _, mapping in loaded.values()]), "codes")
+    configured = settle(features.config_join(_requests(spark, sf), apps), "configured")
+    options = predict.variation_codes(codes, scoring)
+    parts = []
+    for app, scored in zip(scoring, predict.score_apps(configured, scoring, models, codes)):
+        mine = predict.coded_identity(configured.where(F.col("app_id") == app.app_id), codes, app.n_descriptors)
+        rows = mine.select(
+            "event_id", "features", F.posexplode(F.array(*[o.cast("double") for o in options[app.app_id]])).alias("i", "code")
+        ).select("event_id", "i", F.concat("features", F.array("code")).alias("features"))
+        singly = (
+            score_rows(models[app.app_id], rows)
+            .groupBy("event_id")
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "score"))), lambda x: x["score"]).alias("singly"))
+        )
+        parts.append(scored.join(singly, "event_id"))
+    return filters.union_sources(parts)
+
+
+def _option_scores(spark: SparkSession, sf: str, spec: TreeSpec) -> DataFrame:
+    """How many scores each request of either app has, and whether they are what single rows get."""
+    both = _scored_both_ways(spark, sf, *_trained_registry(spark, sf, spec, (APP_0, APP_1)))
+    return both.select(
+        "event_id",
+        "app_id",
+        F.size("scores").alias("n_scores"),
+        F.forall("scores", lambda s: s.between(0.0, 1.0)).alias("in_range"),
+        (F.col("scores") == F.col("singly")).alias("agree"),
+    )
+
+
+def _held_against_scores(spark: SparkSession, sf: str, apps: DataFrame, loader: predict.ModelLoader, decided: DataFrame) -> DataFrame:
+    """``decided`` with ``drawn``, the variation of a random decision, and ``best``.
+
+    ``best`` tells of a predicted one whether it has the highest score of all variations,
+    jitter included, worked out from one row per variation; of a random one it is null.
+    """
+    scored = _scored_both_ways(spark, sf, apps, loader).select(
+        "event_id", "app_id", "variations", F.posexplode("singly").alias("variation_idx", "score")
+    )
+    top = assign.argmax_variation(assign.score_jitter(scored, "app_id", "event_id"), "event_id", "app_id").select(
+        "event_id", "variation_idx"
+    )
+    right = top.join(scored, ["event_id", "variation_idx"]).select(
+        "event_id", F.get("variations", F.col("variation_idx"))["id"].alias("_right")
+    )
+    random = F.col("kind") != PREDICTED
+    return decided.join(right, "event_id", "left").select(
+        *decided.columns,
+        F.when(random, F.col("variation")).alias("drawn"),
+        F.when(~random, F.col("variation") == F.col("_right")).alias("best"),
     )
 
 
@@ -668,8 +771,16 @@ def score_classification(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def choose_variation(spark: SparkSession, sf: str) -> DataFrame:
     apps, loader = _trained_registry(spark, sf)
-    decided = predict.choose_variation(_requests(spark, sf), apps, loader)
-    return predict.replies(decided)
+    decided = settle(predict.choose_variation(_requests(spark, sf), apps, loader), "decided")
+    held = _held_against_scores(spark, sf, apps, loader, decided.select("event_id", "variation", "kind"))
+    return predict.replies(decided).join(held.select("event_id", "drawn", "best"), "event_id").select(
+        "event_id",
+        "app_id",
+        "predicted",
+        "drawn",
+        "best",
+        F.when(F.col("drawn").isNotNull(), F.col("value")).alias("value"),
+    )
 
 
 @query
@@ -680,15 +791,17 @@ def predict_and_log(spark: SparkSession, sf: str) -> DataFrame:
     predict.predict_and_log(
         enriched, apps, lambda rows, _: sinks.append_starts(rows, path), F.lit(NOW_MS), loader
     )
-    known = F.array_contains(F.array(F.lit(APP_0), F.lit(APP_1)), F.col("variation"))
-    return sources.scan_starts(spark, path).select(
+    logged = sources.scan_starts(spark, path)
+    held = _held_against_scores(spark, sf, apps, loader, logged.select("event_id", "variation", "kind"))
+    return logged.join(held.select("event_id", "drawn", "best"), "event_id").select(
         "event_id",
         "app_id",
         "ts_ms",
         "session",
         identity_text(F.col("identity")).alias("identity"),
         "kind",
-        known.alias("known"),
+        "drawn",
+        "best",
     )
 
 

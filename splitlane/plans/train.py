@@ -12,6 +12,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitlane.functions.hashing import draw_unit
 from splitlane.operators.counts import retrain_eligible
 from splitlane.operators.evaluate import evaluate_binary, in_training
 from splitlane.operators.features import (
@@ -27,12 +28,15 @@ from splitlane.operators.lookup import lookup_join
 from splitlane.operators.registry import registry_update
 from splitlane.operators.sessions import session_sample
 from splitlane.operators.trees import TREE_REGRESSOR, TreeSpec, fit_tree, save_model, score_rows
-from splitlane.schema import NO_DATA, PREDICTING, SAMPLE_CAP, TRAIN_METRICS, TRAINING
+from splitlane.schema import NO_DATA, PREDICTING, TRAIN_METRICS, TRAINING
 from splitlane.session import settle
 from splitlane.sinks.tables import append_metrics, write_registry
 from splitlane.sources.tables import read_registry
 
 PARALLEL_FITS = 4
+# Training rows that one fit may use. Only the fit is bounded: samples, supports, codes,
+# test parts and reports cover every session.
+FIT_ROWS = 2_000_000
 
 log = logging.getLogger(__name__)
 
@@ -56,8 +60,8 @@ class Prepared:
         return {r.pos: r.arity for r in rows.collect()}
 
 
-def labelled_sample(events: DataFrame, n: int | None = SAMPLE_CAP) -> DataFrame:
-    """The labelled sessions of every app, from its latest starts and finishes."""
+def labelled_sample(events: DataFrame, n: int | None = None) -> DataFrame:
+    """The labelled sessions of every app; with ``n``, from its latest starts and finishes only."""
     return session_sample(latest_n(events, n))
 
 
@@ -81,7 +85,7 @@ def code_sample(features: DataFrame, registry: DataFrame) -> tuple[DataFrame, Da
 def prepare_sample(
     events: DataFrame,
     registry: DataFrame,
-    n: int | None = SAMPLE_CAP,
+    n: int | None = None,
     kinds: tuple[str, ...] | None = None,
 ) -> Prepared:
     """Sample, featurize and code all apps at once; one folder per app for the fits to read.
@@ -95,6 +99,13 @@ def prepare_sample(
     return Prepared(settle(placed, "coded", ("app_id",)), mapping, registry)
 
 
+def fitting_rows(train: DataFrame, n_rows: int, most: int) -> DataFrame:
+    """``train`` itself, or about ``most`` of its ``n_rows`` rows."""
+    if n_rows <= most:
+        return train
+    return train.where(draw_unit(F.col("app_id"), F.col("session"), F.lit("fit")) < most / n_rows)
+
+
 @dataclass(frozen=True)
 class Trained:
     app_id: str
@@ -110,16 +121,21 @@ def train_app(
     spec: TreeSpec = TREE_REGRESSOR,
     estimator: Estimator | None = None,
     trained_at: int = 0,
+    fit_rows: int = FIT_ROWS,
 ) -> Trained:
-    """Fit one app's model on its training part and report on its test part."""
+    """Fit one app's model on its training part and report on its test part.
+
+    A training part of more than ``fit_rows`` rows is thinned to about that number for the
+    fit, by a draw from each session's keys.
+    """
     rows = prepared.sample.where(F.col("app_id") == app_id)
     sizes = rows.agg(F.count(F.lit(1)), F.count_if("train")).first()
     model = fit_tree(
-        rows.where("train"),
+        fitting_rows(rows.where("train"), sizes[1], fit_rows),
         prepared.arities(app_id),
         prepared.names(app_id),
         spec,
-        sizes[1],
+        min(sizes[1], fit_rows),
         estimator,
     )
     scored = score_rows(model, rows.where(~F.col("train")))
@@ -147,7 +163,7 @@ def train_and_evaluate(
     registry: DataFrame,
     app_ids: list[str],
     spec: TreeSpec = TREE_REGRESSOR,
-    n: int | None = SAMPLE_CAP,
+    n: int | None = None,
     parallel: int = PARALLEL_FITS,
 ) -> list[Trained]:
     """Prepare once, then fit the given apps, a few at a time."""
@@ -168,7 +184,7 @@ def retrain_cycle(
     models_path: str,
     metrics_path: str,
     spec: TreeSpec = TREE_REGRESSOR,
-    n: int | None = SAMPLE_CAP,
+    n: int | None = None,
     parallel: int = PARALLEL_FITS,
     now_ms: int | None = None,
 ) -> list[str]:

@@ -6,7 +6,6 @@ from pyspark.sql import types as T
 
 # Their meaning to callers depends on these exact numbers and texts.
 ID_WIDTH = 24
-SAMPLE_CAP = 16384
 MIN_FINISHES = 20
 MIN_STARTS = 50
 TRAIN_SHARE = 0.7
