@@ -24,12 +24,13 @@ def _block_bits(low: Column, high: Column) -> Column:
 def geo_range_join(events: DataFrame, ranges: DataFrame, ip: str = "ip_num") -> DataFrame:
     """Add ``city`` and ``country`` of the range holding the address.
 
-    Ranges are disjoint, as in an address registry. Each is listed under the
-    blocks it touches of a size just above its own, at most two of them, and an
-    address looks into its block of each size in use. As a block holds ranges
-    wider than a sixteenth of it only, an address meets at most 17 per size,
-    however dense or wide the ranges are. An address of no range, or a name the
-    range lacks, becomes the fixed unknown text; without an address both stay null.
+    Each range is listed under the blocks it touches of a size just above its own, at
+    most two of them, and an address looks into its block of each size in use. As a block
+    holds ranges wider than a sixteenth of it only, an address meets at most 17 disjoint
+    ranges per size, however dense or wide they are. The ranges of a block are one row, so
+    an event stays one row also where ranges overlap: the narrowest that holds the address
+    counts, of equally wide ones the lowest. An address of no range, or a name the range
+    lacks, becomes the fixed unknown text; without an address both stay null.
     """
     listed = ranges.select(
         "ip_from",
@@ -38,28 +39,33 @@ def geo_range_join(events: DataFrame, ranges: DataFrame, ip: str = "ip_num") ->
         F.coalesce("country", F.lit(UNKNOWN_PLACE)).alias("_country"),
         _block_bits(F.col("ip_from"), F.col("ip_to")).alias("_bits"),
     )
-    small = fits_broadcast(listed, RANGE_ROWS, RANGE_BYTES)
+    # A range is listed twice at most; that is what is measured, as it is what is sent.
+    both = listed.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    small = fits_broadcast(both, RANGE_ROWS, RANGE_BYTES)
     sizes = sorted(r[0] for r in listed.select("_bits").distinct().collect())
     placed = events
     for bits in sizes:
         first, last = F.shiftright("ip_from", bits), F.shiftright("ip_to", bits)
-        blocks = listed.where(F.col("_bits") == bits).select(
-            "ip_from",
-            "ip_to",
-            F.col("_city").alias(f"_city{bits}"),
-            F.col("_country").alias(f"_country{bits}"),
-            F.explode(F.sequence(first, last)).alias("_block"),
+        found = F.struct((F.col("ip_to") - F.col("ip_from")).alias("width"), "ip_from", "ip_to", "_city", "_country")
+        blocks = (
+            listed.where(F.col("_bits") == bits)
+            .select(F.explode(F.sequence(first, last)).alias("_block"), found.alias("r"))
+            .groupBy("_block")
+            .agg(F.collect_list("r").alias(f"_ranges{bits}"))
         )
         placed = lookup_join(
-            placed.withColumn("_block", F.shiftright(F.col(ip), bits)),
-            blocks,
-            "_block",
-            small=small,
-            where=F.col(ip).between(F.col("ip_from"), F.col("ip_to")),
-        ).drop("_block", "ip_from", "ip_to")
+            placed.withColumn("_block", F.shiftright(F.col(ip), bits)), blocks, "_block", small=small
+        ).drop("_block")
+    holding = [
+        F.array_min(F.filter(f"_ranges{bits}", lambda r: F.col(ip).between(r["ip_from"], r["ip_to"])))
+        for bits in sizes
+    ]
+    best = F.array_min(F.array_compact(F.array(*holding))) if holding else None
 
     def place(name: str) -> Column:
-        found = [F.col(f"_{name}{bits}") for bits in sizes]
-        return F.when(F.col(ip).isNotNull(), F.coalesce(*found, F.lit(UNKNOWN_PLACE))).alias(name)
+        known = F.lit(UNKNOWN_PLACE) if best is None else F.coalesce(F.col(f"_best._{name}"), F.lit(UNKNOWN_PLACE))
+        return F.when(F.col(ip).isNotNull(), known).alias(name)
 
+    if best is not None:
+        placed = placed.withColumn("_best", best)
     return placed.select(*events.columns, place("city"), place("country"))

@@ -645,20 +645,42 @@ placed AS (
     ),
     "retrain_cycle": RETRAINED,
     "stream_ingest": _with(
-        BODIES + GEO,
-        f"""SELECT event_id, app_id, ts_ms, session, identity, variation, kind, etype FROM (
+        BODIES + GEO + """,
+asked AS (
+  SELECT * REPLACE (CASE WHEN event_id % 83 = 0 THEN '000000000000000000000003'
+      WHEN event_id % 89 = 0 THEN '000000000000000000000002' ELSE app_id END AS app_id,
+      CASE WHEN event_id % 97 = 0 THEN 'visit' ELSE etype END AS etype)
+  FROM sent
+),
+told AS (
+  SELECT *, CASE WHEN etype = 'visit' THEN 'unknown route' WHEN event_id % 83 = 0 THEN 'app is Suspended'
+      WHEN event_id % 89 = 0 THEN 'unknown app' WHEN malformed THEN 'malformed'
+      WHEN etype = 'finish' THEN NULL WHEN s IS NULL THEN 'no session'
+      WHEN v IS NULL THEN 'no variation' END AS fault
+  FROM asked
+)""",
+        f"""SELECT event_id, app_id, ts_ms, session, identity, variation, kind, etype, fault FROM (
               SELECT event_id, app_id, true_ts + 250 AS ts_ms, s AS session,
                 {enriched_identity('ip', 'coalesce(t, 0)', {
                     'day': "CASE WHEN k % 11 <> 4 THEN 'day=' || day END",
                     'nation': "CASE WHEN k % 11 <> 4 THEN 'nation=' || nation END",
                     'segment': "CASE WHEN k % 11 <> 4 THEN 'segment=' || segment END",
-                })} AS identity, v AS variation, 'Random' AS kind, 'start' AS etype
-              FROM (SELECT *, ts_ms AS true_ts, {KNOWN_IP} AS ip FROM sent) x
+                })} AS identity, v AS variation, 'Random' AS kind, 'start' AS etype, fault
+              FROM (SELECT *, ts_ms AS true_ts, {KNOWN_IP} AS ip FROM told) x
               LEFT JOIN ranges ON ip BETWEEN ip_from AND ip_to
-              WHERE etype = 'start' AND NOT malformed AND s IS NOT NULL AND v IS NOT NULL
+              WHERE etype = 'start' AND fault IS NULL
               UNION ALL
-              SELECT event_id, app_id, ts_ms + 250, coalesce(s, ''), NULL, NULL, NULL, 'finish'
-              FROM sent WHERE etype = 'finish' AND NOT malformed)""",
+              SELECT event_id, app_id, ts_ms + 250, coalesce(s, ''), NULL, NULL, NULL, 'finish', NULL
+              FROM told WHERE etype = 'finish' AND fault IS NULL
+              UNION ALL
+              SELECT event_id, app_id, NULL, NULL, NULL, NULL, NULL, etype, fault FROM told
+              WHERE fault IS NOT NULL)""",
+    ),
+    "refused_requests": _with(
+        VISITS,
+        """SELECT v.event_id, v.app_id, CASE WHEN a.app_id IS NULL THEN 'unknown app' ELSE 'app is ' || a.run_state END AS reason
+           FROM visits v LEFT JOIN apps a ON v.app_id = a.app_id
+           WHERE a.app_id IS NULL OR a.run_state IN ('Suspended', 'Loading')""",
     ),
     "stream_session_sample": _with(
         SAMPLE, "SELECT app_id, session, event_id, variation, n_start, goal FROM sample"

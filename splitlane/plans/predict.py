@@ -22,7 +22,7 @@ from splitlane.schema import NO_DATA, PREDICTED, PREDICTING, TRAINING
 from splitlane.session import settle
 from splitlane.sinks.tables import by_app
 
-# Modelled apps decided by one plan; more apps become more plans, not a bigger one.
+# Modelled apps decided by one plan: bounds the size of a plan, not what is read or how.
 APPS_PER_PLAN = 16
 
 
@@ -177,25 +177,31 @@ def decision_plans(
 ) -> Iterator[DataFrame]:
     """Decisions of all requests, as one plan of random choices and plans of a few scored apps each.
 
-    Suspended and loading apps, and unknown ones, give no rows.
+    The requests are read once and laid out by app, whatever the number of apps; each plan
+    then reads the folders of its own apps. What gives no decision is in refused_requests().
     """
     spark = requests.sparkSession
     loader = loader or (lambda path, kind: load_model(spark, path, kind))
     apps = registry.where(answers())
     config = apps.select("app_id", "variations", "descriptors", uses_model().alias("_scores"))
-    configured = lookup_join(requests, config, "app_id", "inner")
-    yield _decision_columns(
-        random_assign(configured.where(~F.col("_scores") & (F.size("variations") > 0)))
-    )
-    scored = configured.where("_scores")
+    configured = lookup_join(requests, config, "app_id", "inner").where(F.size("variations") > 0)
+    laid_out = settle(by_app(configured), "requests", ("_scores", "app_id"))
+    yield _decision_columns(random_assign(laid_out.where(~F.col("_scores"))))
     modelled = modelled_apps(apps)
-    batch = list(islice(modelled, APPS_PER_PLAN))
-    if len(batch) == APPS_PER_PLAN:
-        # Many plans: let each read the folders of its own apps only.
-        scored = settle(by_app(scored), "requests", ("app_id",))
-    while batch:
-        yield _decide_scored(scored, batch, loader)
-        batch = list(islice(modelled, APPS_PER_PLAN))
+    while batch := list(islice(modelled, APPS_PER_PLAN)):
+        yield _decide_scored(laid_out.where("_scores"), batch, loader)
+
+
+def refused_requests(requests: DataFrame, registry: DataFrame) -> DataFrame:
+    """event_id, app_id, reason of the requests that get no decision."""
+    state = registry.select("app_id", F.col("run_state").alias("_state"), F.size("variations").alias("_options"))
+    reason = (
+        F.when(F.col("_state").isNull(), F.lit("unknown app"))
+        .when(~F.col("_state").isin(NO_DATA, PREDICTING, TRAINING), F.concat(F.lit("app is "), "_state"))
+        .when(F.coalesce(F.col("_options"), F.lit(0)) < 1, F.lit("no variations"))
+    )
+    judged = lookup_join(requests.select("event_id", "app_id"), state, "app_id")
+    return judged.select("event_id", "app_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def choose_variation(

@@ -12,6 +12,7 @@ from functools import partial
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from splitlane.functions import bodies as B
 from splitlane.functions import scores as S
@@ -48,6 +49,8 @@ QUERIES: dict[str, Query] = {}
 
 APP_0 = "0" * 24
 APP_1 = "0" * 23 + "1"
+APP_2 = "0" * 23 + "2"
+APP_3 = "0" * 23 + "3"
 LATEST = 500
 NOW_MS = 1707000000000
 SEEN_UNTIL = 1704153600000
@@ -853,16 +856,41 @@ def _request_files(spark: SparkSession, requests: DataFrame, path: str) -> DataF
 
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored events, and what was turned away and why; some requests go to a suspended app, to
+    one that doesn't exist, or by a route that doesn't."""
     path = scratch_path(spark, "ingest")
-    stream = _request_files(spark, V.bodies(spark, sf), path)
+    suspended = V.two_apps(spark).where(F.col("app_id") == APP_0).withColumns(
+        {"app_id": F.lit(APP_3), "run_state": F.lit(SUSPENDED)}
+    )
+    sinks.write_registry(V.two_apps(spark).unionByName(suspended), f"{path}/registry")
+    number = F.col("event_id")
+    elsewhere = F.when(number % 83 == 0, F.lit(APP_3)).when(number % 89 == 0, F.lit(APP_2))
+    requests = V.bodies(spark, sf).withColumns(
+        {
+            "app_id": F.coalesce(elsewhere, F.col("app_id")),
+            "route": F.when(number % 97 == 0, F.lit("visit")).otherwise(F.col("route")),
+        }
+    )
+    stream = _request_files(spark, requests, path)
     jobs.stream_ingest(
-        stream, V.geo_ranges(spark, sf), f"{path}/out", f"{path}/state", once=True
+        stream, V.geo_ranges(spark, sf), f"{path}/out", f"{path}/state", once=True, registry_path=f"{path}/registry"
     ).awaitTermination()
     starts = _start_columns(sources.scan_starts(spark, f"{path}/out/starts"))
     finishes = sources.scan_finishes(spark, f"{path}/out/finishes").select(
         "event_id", "app_id", "ts_ms", "session"
     )
-    return filters.union_events(starts, finishes)
+    away = spark.read.schema(T.StructType([*REQUESTS.fields, T.StructField("fault", T.StringType())])).parquet(
+        f"{path}/out/quarantine"
+    )
+    stored = filters.union_events(starts, finishes).withColumn("fault", F.lit(None).cast("string"))
+    return stored.unionByName(
+        away.select("event_id", "app_id", F.col("route").alias("etype"), "fault"), allowMissingColumns=True
+    )
+
+
+@query
+def refused_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return predict.refused_requests(V.visits(spark, sf), V.many_apps(spark, sf))
 
 
 @query

@@ -76,6 +76,12 @@ def scan_tolerant(requests: DataFrame) -> DataFrame:
     return parse_events(requests).withColumn("fault", fault).drop("event")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder and what is in it, if it is there."""
+    fs, jvm = _files(spark, path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 # --- registry versions ---------------------------------------------------------------------
 
 

@@ -16,7 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from splitlane.operators.filters import stamp_server_time
 from splitlane.operators.latest import SESSION_KEYS
 from splitlane.operators.sessions import session_sample
-from splitlane.plans.predict import enrich_requests, predict_and_log
+from splitlane.operators.lookup import lookup_join
+from splitlane.operators.registry import command_accepted
+from splitlane.plans.predict import enrich_requests, predict_and_log, refused_requests
 from splitlane.schema import FINISH, FINISH_EVENTS, PREDICT, REQUESTS, START, START_EVENTS
 from splitlane.sinks.tables import by_app
 from splitlane.sources.tables import (
@@ -24,6 +26,7 @@ from splitlane.sources.tables import (
     decode_predicts,
     decode_starts,
     read_registry,
+    remove_folder,
 )
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -63,12 +66,36 @@ def server_time() -> Column:
     return F.coalesce("server_ts", F.unix_millis(F.current_timestamp()))
 
 
-def ingest_batch(requests: DataFrame, ranges: DataFrame, out: str, batch_id: int) -> None:
-    """Start and finish requests of one batch to their tables, undecodable ones to quarantine."""
+def judge_requests(requests: DataFrame, registry: DataFrame | None) -> DataFrame:
+    """Requests with ``fault``: a route nobody knows, or an app that stores no events now; else null."""
+    route = F.coalesce("route", F.lit(""))
+    fault = F.when(~route.isin(START, FINISH, PREDICT), F.lit("unknown route"))
+    if registry is None:
+        return requests.withColumn("fault", fault)
+    state = registry.select("app_id", F.col("run_state").alias("_state"))
+    judged = lookup_join(requests, state, "app_id")
+    refused = ~F.coalesce(command_accepted(F.lit("store"), F.col("_state")), F.lit(False))
+    reason = F.when(F.col("_state").isNull(), F.lit("unknown app")).when(
+        refused, F.concat(F.lit("app is "), "_state")
+    )
+    return judged.select(*requests.columns, F.coalesce(fault, reason).alias("fault"))
+
+
+def ingest_batch(
+    requests: DataFrame, ranges: DataFrame, out: str, batch_id: int, registry: DataFrame | None = None
+) -> None:
+    """Start and finish requests of one batch to their tables, all others to quarantine with the reason.
+
+    With a ``registry``, only apps whose run state stores events get theirs. Predict
+    requests are left to stream_predict().
+    """
     requests = requests.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        starts, bad_starts = decode_starts(requests.where(F.col("route") == START))
-        finishes, bad_finishes = decode_finishes(requests.where(F.col("route") == FINISH))
+        judged = judge_requests(requests, registry)
+        sound = judged.where(F.col("fault").isNull()).drop("fault")
+        refused = judged.where(F.col("fault").isNotNull() & ~F.coalesce(F.col("route") == PREDICT, F.lit(False)))
+        starts, bad_starts = decode_starts(sound.where(F.col("route") == START))
+        finishes, bad_finishes = decode_finishes(sound.where(F.col("route") == FINISH))
         stamped = stamp_server_time(enrich_requests(starts, ranges), server_time())
         _write_batch(stamped.select(*START_EVENTS.names), f"{out}/starts", batch_id)
         _write_batch(
@@ -76,16 +103,25 @@ def ingest_batch(requests: DataFrame, ranges: DataFrame, out: str, batch_id: int
             f"{out}/finishes",
             batch_id,
         )
-        _write_batch(bad_starts.unionByName(bad_finishes), f"{out}/quarantine", batch_id)
+        unread = bad_starts.unionByName(bad_finishes).unionByName(refused)
+        _write_batch(unread, f"{out}/quarantine", batch_id)
     finally:
         requests.unpersist()
 
 
 def stream_ingest(
-    requests: DataFrame, ranges: DataFrame, out: str, checkpoint: str, once: bool = False
+    requests: DataFrame,
+    ranges: DataFrame,
+    out: str,
+    checkpoint: str,
+    once: bool = False,
+    registry_path: str | None = None,
 ) -> StreamingQuery:
-    """Continuous ingest of start and finish requests."""
-    work = lambda df, batch_id: ingest_batch(df, ranges, out, batch_id)
+    """Continuous ingest of start and finish requests; run states are read anew for each batch."""
+    def work(df: DataFrame, batch_id: int) -> None:
+        registry = read_registry(df.sparkSession, registry_path) if registry_path else None
+        ingest_batch(df, ranges, out, batch_id, registry)
+
     return _start(requests, work, checkpoint, "append", once)
 
 
@@ -147,6 +183,9 @@ def stream_predict(
 ) -> StreamingQuery:
     """Decide predict requests batch by batch and log each decision as a start event.
 
+    Requests that get no decision are written below ``refused`` with the reason. A batch
+    run again first clears what the attempt before it has logged.
+
     The registry is read anew for each batch, so a finished training is used
     from the next batch on. ``after_batch`` is the place for the retrain trigger.
     """
@@ -154,15 +193,19 @@ def stream_predict(
         spark = df.sparkSession
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            # Another attempt may have had other plans: nothing of it may stay.
+            remove_folder(spark, f"{out}/starts/batch_id={batch_id}")
+            registry = read_registry(spark, registry_path)
             wanted, bad = decode_predicts(df.where(F.col("route") == PREDICT))
             enriched = enrich_requests(wanted, ranges)
             predict_and_log(
                 enriched.withColumn("ts_ms", server_time()),
-                read_registry(spark, registry_path),
+                registry,
                 lambda rows, part: _write_batch(rows, f"{out}/starts", batch_id, part),
                 F.col("ts_ms"),
             )
             _write_batch(bad, f"{out}/quarantine", batch_id)
+            _write_batch(refused_requests(wanted, registry), f"{out}/refused", batch_id)
         finally:
             df.unpersist()
         if after_batch:
