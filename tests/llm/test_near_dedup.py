@@ -7,6 +7,7 @@ from conftest import awkward_rows, words
 from pyspark.sql import functions as F
 
 from splitlane.llm import arrays as A
+from splitlane.llm import near_dedup as near_dedup_module
 from splitlane.llm.components import connected_components
 from splitlane.llm.near_dedup import _cell, inverse_frequencies, near_dedup, shingles, text_ids
 
@@ -89,3 +90,13 @@ def test_components(spark, seed):
     expected = {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
     assert {r.node: r.root for r in got.collect()} == expected
     assert got.select(F.count_distinct("node")).first()[0] == got.count()
+
+
+@pytest.mark.parametrize("local", [2, 256])
+def test_unlike_texts_that_share_bands(spark, monkeypatch, local):
+    """Texts of one heavy common shingle and words of their own, some of them near-copies."""
+    monkeypatch.setattr(near_dedup_module, "LOCAL", local)
+    rows = [(i, "ha " * 40 + words(100 * (i // 2), 12) + (" z" if i % 2 else "")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, expected = classes(docs)
+    assert got == expected
