@@ -119,17 +119,22 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 def with_edits(docs: DataFrame, following: DataFrame) -> DataFrame:
     """doc_id, tkey, text, edited: the second half of each text replaced from the next document's start."""
+    # Both joins read the same rows by the same key, so that the texts are shuffled once.
+    numbered = docs.filter("doc_id is not null")
     heads = (
-        docs.join(following.withColumnsRenamed({"doc_id": "prev_id", "next_id": "doc_id"}), "doc_id")
+        numbered.join(following.withColumnsRenamed({"doc_id": "prev_id", "next_id": "doc_id"}), "doc_id")
         .select("prev_id", "tkey", F.left("text", F.col("need")).alias("head"))
         .groupBy("prev_id")
         .agg(F.min_by("head", "tkey").alias("head"))
     )
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
-    edited = F.concat(F.left("text", size - half), F.left(F.coalesce("head", F.lit("")), half))
-    return docs.join(heads.withColumnRenamed("prev_id", "doc_id"), "doc_id", "left").select(
-        "doc_id", "tkey", "text", edited.alias("edited")
+    kept = F.left("text", size - half)
+    edited = F.concat(kept, F.left(F.coalesce("head", F.lit("")), half))
+    own = ("doc_id", "tkey", "text")
+    known = numbered.join(heads.withColumnRenamed("prev_id", "doc_id"), "doc_id", "left")
+    return known.select(*own, edited.alias("edited")).unionByName(
+        docs.filter("doc_id is null").select(*own, kept.alias("edited"))
     )
 
 
@@ -164,9 +169,12 @@ def fingerprint_documents(docs: DataFrame, low: float = LOW, high: float = HIGH)
         F.sha2("edited", 256).alias("edited_sha256"),
         entries.alias("entries"),
     )
-    own = ["doc_id", "tkey", "n_chars", "text_sha256", "edited_sha256"]
     # Exploded in a step of its own: what stands beside explode() is worked out for every term.
-    terms = terms.select(*own, F.explode("entries").alias("e")).select(*own, "e.side", "e.term")
+    own = ["doc_id", "tkey"]
+    once = ["n_chars", "text_sha256", "edited_sha256"]  # carried by the row of term 0 alone
+    terms = terms.select(*own, *once, F.explode("entries").alias("e")).select(
+        *own, "e.side", "e.term", *[F.when(F.col("e.term") == 0, F.col(c)).alias(c) for c in once]
+    )
     term_set = lambda side: F.sort_array(
         F.array_remove(F.collect_set(F.when(F.col("side") == side, F.col("term"))), 0)
     )
@@ -174,11 +182,12 @@ def fingerprint_documents(docs: DataFrame, low: float = LOW, high: float = HIGH)
         term_set(0).alias("terms"),
         term_set(1).alias("edited_terms"),
         F.count_if(F.col("term") == 0).alias("copies"),
+        *[F.max(c).alias(c) for c in once],
     )
     sets = with_fingerprint(sets, "terms", "text_sha256", "fingerprint")
     sets = with_fingerprint(sets, "edited_terms", "edited_sha256", "edited_fingerprint")
     prints = settle(
-        sets.select(*own[:3], "edited_sha256", "fingerprint", "edited_fingerprint", "copies"), "prints"
+        sets.select(*own, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "copies"), "prints"
     )
     nexts = (
         prints.groupBy("doc_id")

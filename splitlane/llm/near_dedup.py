@@ -7,13 +7,17 @@ the number of documents, many times the table's noise, are not told apart.
 
 A sample is the (shingle, level) that improved consistent weighted sampling picks among
 the shingles of one of BINS parts of the hash range; REPEATS independent passes give
-REPEATS samples per band. Texts that share a band are compared with the band's leader,
-those unlike it among themselves with a new leader, and so on. Links have a weighted
-Jaccard similarity of at least ``threshold``; classes are their connected components.
+REPEATS samples per band. Alike texts have total weights of a ratio of ``threshold`` at
+least, so of the texts that share a band only those of one class of size, or of two
+neighbouring ones, are compared: with a leader, those unlike it among themselves with a
+new leader, and so on. Groups that are small after LED rounds go to one task each. Links
+have a weighted Jaccard similarity of at least ``threshold``; classes are their connected
+components.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 from splitlane.llm import arrays as A
 from splitlane.llm.components import connected_components
+from splitlane.operators.filters import union_sources
 from splitlane.session import settle
 
 SHINGLE = 5
@@ -31,6 +36,8 @@ BINS = 16  # bands
 REPEATS = 4  # samples that must agree in a band
 TABLE = 1 << 18
 ORDERS = 2  # orders of texts by which leaders are chosen
+LED = 2  # rounds in which all groups have leaders
+LOCAL = 256  # texts that one task compares
 _QUANTILES = 1 << 16
 
 
@@ -120,37 +127,45 @@ def band_keys(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts:
     return A.mix(keys + np.arange(BINS, dtype=np.uint64) * A.MIX_1)
 
 
-def _band_rows(idf: np.ndarray):
+def _band_rows(idf: np.ndarray, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, "text"):
             text, shingle, times = shingles(*A.text_buffers(batch.column(1)))
-            keys = band_keys(text, shingle, times * idf[_cell(shingle)], batch.num_rows)
+            weight = times * idf[_cell(shingle)]
+            keys = band_keys(text, shingle, weight, batch.num_rows)
             some = np.unique(text)
+            # Slightly wider classes than needed, so that rounding can't part alike texts.
+            total = np.bincount(text, weight, minlength=batch.num_rows)[some]
+            size = np.floor(np.log(total) / (-np.log(threshold) * 1.001)).astype(np.int32)
             tid = batch.column(0).take(pa.array(np.repeat(some, BINS)))
             band = np.tile(np.arange(BINS, dtype=np.int32), len(some))
             yield pa.RecordBatch.from_arrays(
-                [tid, pa.array(band), pa.array(keys[some].ravel().view(np.int64))], ["tid", "band", "key"]
+                [tid, pa.array(band), pa.array(keys[some].ravel().view(np.int64)), pa.array(np.repeat(size, BINS))],
+                ["tid", "band", "key", "size"],
             )
 
     return rows
 
 
-def _similarity_rows(idf: np.ndarray):
-    def weighted(column: pa.Array):
-        text, shingle, times = shingles(*A.text_buffers(column))
-        cuts = np.searchsorted(text, np.arange(len(column) + 1))
-        return cuts, shingle, times * idf[_cell(shingle)]
+def _weighted(column: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Distinct shingles, their weights and total of each text."""
+    text, shingle, times = shingles(*A.text_buffers(column))
+    weight = times * idf[_cell(shingle)]
+    cuts = np.searchsorted(text, np.arange(len(column) + 1))
+    return [(shingle[a:b], weight[a:b], float(weight[a:b].sum())) for a, b in zip(cuts, cuts[1:])]
+
+
+def _likeness(one, other) -> float:
+    _, x, y = np.intersect1d(one[0], other[0], assume_unique=True, return_indices=True)
+    common = float(np.minimum(one[1][x], other[1][y]).sum())
+    return common / (one[2] + other[2] - common)
+
 
+def _similarity_rows(idf: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, "text"):
-            (ac, ah, aw), (bc, bh, bw) = weighted(batch.column(2)), weighted(batch.column(3))
-            likeness = np.zeros(batch.num_rows)
-            for i in range(batch.num_rows):
-                h, w = ah[ac[i] : ac[i + 1]], aw[ac[i] : ac[i + 1]]
-                g, v = bh[bc[i] : bc[i + 1]], bw[bc[i] : bc[i + 1]]
-                _, x, y = np.intersect1d(h, g, assume_unique=True, return_indices=True)
-                common = np.minimum(w[x], v[y]).sum()
-                likeness[i] = common / (w.sum() + v.sum() - common)
+            pairs = zip(_weighted(batch.column(2), idf), _weighted(batch.column(3), idf))
+            likeness = np.array([_likeness(a, b) for a, b in pairs])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(likeness)], ["tid", "leader", "likeness"]
             )
@@ -158,6 +173,35 @@ def _similarity_rows(idf: np.ndarray):
     return rows
 
 
+def _local_links(idf: np.ndarray, threshold: float):
+    """Links of a small group: each text is compared with every leader of a fitting size so far."""
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.sort_by("tid")
+        tids = table["tid"].to_pylist()
+        texts = _weighted(table["text"].combine_chunks(), idf)
+        leaders: list[int] = []
+        found: list[tuple[int, int, float]] = []
+        for i, text in enumerate(texts):
+            near = []
+            for j in leaders:
+                small, large = sorted((text[2], texts[j][2]))
+                if small >= threshold * large and (likeness := _likeness(text, texts[j])) >= threshold:
+                    near.append((i, j, likeness))
+            if not near:
+                leaders.append(i)
+            found += near
+        return pa.table(
+            {
+                "a": pa.array([tids[i] for i, _, _ in found], pa.binary()),
+                "b": pa.array([tids[j] for _, j, _ in found], pa.binary()),
+                "likeness": pa.array([x for *_, x in found], pa.float64()),
+            }
+        )
+
+    return links
+
+
 def text_ids(docs: DataFrame) -> DataFrame:
     """tid (md5 of the text, 16 bytes) and text of every row."""
     text = F.coalesce("text", F.lit(""))
@@ -168,46 +212,47 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, likeness: pairs of tids of different texts at least ``threshold`` alike, found by bands."""
     texts = text_ids(docs)
     idf = inverse_frequencies(texts)
-    bands = settle(texts.mapInArrow(_band_rows(idf), "tid binary, band int, key long"), "bands")
+    bands = settle(texts.mapInArrow(_band_rows(idf, threshold), "tid binary, band int, key long, size int"), "bands")
     shared = bands.groupBy("band", "key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low != high")
     members = settle(
         bands.join(settle(shared.select("band", "key"), "shared"), ["band", "key"])
-        .distinct()
-        .select((F.col("band") % ORDERS).alias("order"), F.xxhash64("band", "key").alias("grp"), "tid"),
+        .withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
+        .select((F.col("band") % ORDERS).alias("order"), F.xxhash64("band", "key", "size").alias("grp"), "tid")
+        .distinct(),
         "members",
     )
     needed = members.select("tid").distinct()
     known = settle(texts.groupBy("tid").agg(F.first("text").alias("text")).join(needed, "tid", "left_semi"), "texts")
-    links = None
-    while True:
+    links: list[DataFrame] = []
+    for turn in itertools.count():
         by = F.struct(F.xxhash64("tid", "order").alias("h"), "tid")
-        leaders = settle(
-            members.groupBy("grp").agg(F.min(by)["tid"].alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
-            "leaders",
-        )
-        led = settle(members.join(leaders, "grp").filter("tid != leader"), "led")
+        groups = members.groupBy("grp").agg(F.min(by)["tid"].alias("leader"), F.count(F.lit(1)).alias("n"))
+        led = settle(members.join(settle(groups.filter("n > 1"), "groups"), "grp"), "led")
+        if turn >= LED:
+            small = led.filter(F.col("n") <= LOCAL).select("grp", "tid").join(known, "tid")
+            local = small.groupBy("grp").applyInArrow(_local_links(idf, threshold), "a binary, b binary, likeness double")
+            links.append(settle(local, "links"))
+            led = led.filter(F.col("n") > LOCAL)
+        led = led.filter("tid != leader").drop("n")
         if led.isEmpty():
             break
-        pairs = led.select("tid", "leader").distinct()
         rated = settle(
-            pairs.join(known, "tid")
+            led.select("tid", "leader")
+            .distinct()
+            .join(known, "tid")
             .join(known.select(F.col("tid").alias("leader"), F.col("text").alias("other")), "leader")
             .select("tid", "leader", "text", "other")
             .mapInArrow(_similarity_rows(idf), "tid binary, leader binary, likeness double"),
             "rated",
         )
-        alike = rated.filter(F.col("likeness") >= threshold).select(
-            F.col("tid").alias("a"), F.col("leader").alias("b"), "likeness"
-        )
-        links = alike if links is None else links.unionByName(alike)
+        alike = F.col("likeness") >= threshold
+        links.append(rated.filter(alike).select(F.col("tid").alias("a"), F.col("leader").alias("b"), "likeness"))
         # The others of a group are compared among themselves next.
-        unlike = rated.filter(F.col("likeness") < threshold).select("tid", "leader")
+        unlike = rated.filter(~alike).select("tid", "leader")
         members = settle(
             led.join(unlike, ["tid", "leader"]).select("order", F.xxhash64("grp", "leader").alias("grp"), "tid"), "members"
         )
-    if links is None:
-        return docs.sparkSession.createDataFrame([], "a binary, b binary, likeness double")
-    return links
+    return union_sources(links) if links else docs.sparkSession.createDataFrame([], "a binary, b binary, likeness double")
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
