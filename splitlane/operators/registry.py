@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlane.operators.lookup import lookup_join
 from splitlane.operators.running import max_before
 from splitlane.schema import LOADING, NO_DATA, PREDICTING, REGISTRY, SUSPENDED, TRAINING
+from splitlane.sinks.tables import write_registry
+from splitlane.sources.tables import read_registry
 
 MUTABLE = ("run_state", "predicting_from", "variations", "descriptors", "model_path", "model_type")
 
@@ -144,6 +146,13 @@ def state_changes(judged: DataFrame) -> DataFrame:
     )
 
 
+def command_job(spark: SparkSession, registry_path: str, commands: DataFrame) -> int:
+    """Judge commands against the stored registry and write its next version; returns its number."""
+    stored = read_registry(spark, registry_path)
+    changes = state_changes(apply_commands(stored, commands))
+    return write_registry(registry_update(stored, changes), registry_path)
+
+
 def recover_registry(registry: DataFrame) -> DataFrame:
     """Interrupted trainings fall back to collecting data."""
     stuck = F.col("run_state") == TRAINING

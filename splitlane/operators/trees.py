@@ -19,6 +19,7 @@ from pyspark.ml.regression import (
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,4 +180,9 @@ def save_model(model: Model, mapping: DataFrame, path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str, model_type: str) -> tuple[Model, DataFrame]:
-    return _MODELS[model_type].load(f"{path}/model"), spark.read.parquet(f"{path}/mapping")
+    """A model of one of the four kinds, or of the class that Spark ML saved it as."""
+    if model_type in _MODELS:
+        model = _MODELS[model_type].load(f"{path}/model")
+    else:
+        model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+    return model, spark.read.parquet(f"{path}/mapping")

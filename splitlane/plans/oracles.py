@@ -283,6 +283,29 @@ SELECT a.app_id,
 FROM two_apps a LEFT JOIN eligible e ON a.app_id = e.app_id""",
 )
 
+JUDGED = """,
+asked AS (
+  SELECT o_orderkey AS command_id, lpad(CAST(o_custkey AS VARCHAR), 24, '0') AS app_id,
+    CASE o_orderkey % 9 WHEN 0 THEN 'reload' WHEN 1 THEN 'start' WHEN 2 THEN 'stop' WHEN 3 THEN 'status'
+      WHEN 4 THEN 'config' WHEN 5 THEN 'predict' WHEN 6 THEN 'store' WHEN 7 THEN 'dump'
+      ELSE 'train' END AS command FROM orders
+),
+judged AS (
+  SELECT q.*, a.run_state AS recorded,
+    max(CASE WHEN command = 'start' THEN command_id END) OVER earlier AS last_start,
+    max(CASE WHEN command = 'stop' THEN command_id END) OVER earlier AS last_stop
+  FROM asked q LEFT JOIN apps a ON q.app_id = a.app_id
+  WINDOW earlier AS (PARTITION BY q.app_id ORDER BY command_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+placed AS (
+  SELECT *, CASE WHEN recorded IS NULL OR recorded = 'Loading' THEN recorded
+    WHEN last_stop IS NOT NULL AND last_start > last_stop THEN 'NoData'
+    WHEN last_stop IS NOT NULL THEN 'Suspended'
+    WHEN last_start IS NOT NULL AND recorded = 'Suspended' THEN 'NoData'
+    ELSE recorded END AS run_state FROM judged
+)"""
+
 DRAWN = (
     f"(CASE WHEN {draw('app_id', 'session', "'assign'")} % 2 = 0 THEN '000000000000000000000000' "
     "ELSE '000000000000000000000001' END)"
@@ -568,6 +591,20 @@ assigned AS (
               CASE WHEN x.goal THEN 1.0 ELSE 0.0 END::DOUBLE AS label,
               {unit('x.app_id', 'x.session')} < 0.7 AS train FROM vectors x""",
     ),
+    "prepare_sample_own_hash": _with(
+        SAMPLE
+        + """,
+vectors AS (
+  SELECT *, coalesce(length(segment), -1)::DOUBLE AS f0, coalesce(length(nation), -1)::DOUBLE AS f1,
+    length(day)::DOUBLE AS f2, CAST(CAST(variation AS BIGINT) AS DOUBLE) AS f3
+  FROM sample WHERE CAST(variation AS BIGINT) < 2
+)"""
+        + supports_of("vectors", "supports")
+        + codes_of("supports", "codes"),
+        f"""SELECT x.app_id, x.session, {coded_columns('codes')},
+              CASE WHEN x.goal THEN 1.0 ELSE 0.0 END::DOUBLE AS label,
+              {unit('x.app_id', 'x.session')} < 0.7 AS train FROM vectors x""",
+    ),
     "train_report": _with(
         VECTORS,
         f"""SELECT app_id, count(*) AS sample_size,
@@ -610,34 +647,26 @@ assigned AS (
             FROM ab LEFT JOIN ranges ON ip_num BETWEEN ip_from AND ip_to""",
     ),
     "apply_commands": _with(
-        MANY_APPS
-        + """,
-asked AS (
-  SELECT o_orderkey AS command_id, lpad(CAST(o_custkey AS VARCHAR), 24, '0') AS app_id,
-    CASE o_orderkey % 9 WHEN 0 THEN 'reload' WHEN 1 THEN 'start' WHEN 2 THEN 'stop' WHEN 3 THEN 'status'
-      WHEN 4 THEN 'config' WHEN 5 THEN 'predict' WHEN 6 THEN 'store' WHEN 7 THEN 'dump'
-      ELSE 'train' END AS command FROM orders
-),
-judged AS (
-  SELECT q.*, a.run_state AS recorded,
-    max(CASE WHEN command = 'start' THEN command_id END) OVER earlier AS last_start,
-    max(CASE WHEN command = 'stop' THEN command_id END) OVER earlier AS last_stop
-  FROM asked q LEFT JOIN apps a ON q.app_id = a.app_id
-  WINDOW earlier AS (PARTITION BY q.app_id ORDER BY command_id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-),
-placed AS (
-  SELECT *, CASE WHEN recorded IS NULL OR recorded = 'Loading' THEN recorded
-    WHEN last_stop IS NOT NULL AND last_start > last_stop THEN 'NoData'
-    WHEN last_stop IS NOT NULL THEN 'Suspended'
-    WHEN last_start IS NOT NULL AND recorded = 'Suspended' THEN 'NoData'
-    ELSE recorded END AS run_state FROM judged
-)""",
+        MANY_APPS + JUDGED,
         f"""SELECT command_id, app_id, command, run_state, accepted,
               CASE WHEN accepted AND command = 'start' THEN 'NoData'
                 WHEN accepted AND command = 'stop' THEN 'Suspended' ELSE run_state END AS new_state
             FROM (SELECT *, {ACCEPTED} AS accepted FROM placed)""",
     ),
+    "command_job": _with(
+        MANY_APPS + JUDGED + f""",
+told AS (
+  SELECT command_id, app_id, {ACCEPTED} AS accepted, CASE WHEN command = 'start' THEN 'NoData'
+    WHEN command = 'stop' THEN 'Suspended' ELSE run_state END AS new_state FROM placed
+),
+ends AS (
+  SELECT app_id, arg_max(new_state, command_id) AS state FROM told WHERE accepted GROUP BY app_id
+)""",
+        """SELECT a.app_id, coalesce(e.state, a.run_state) AS run_state,
+             CASE WHEN coalesce(e.state, a.run_state) IN ('Predicting', 'Training') THEN predicting_from END
+               AS predicting_from, config, model_path, model_type
+           FROM apps a LEFT JOIN ends e ON a.app_id = e.app_id""",
+    ),
     "recover_registry": _with(
         MANY_APPS,
         """SELECT app_id, CASE WHEN run_state = 'Training' THEN 'NoData' ELSE run_state END AS run_state,

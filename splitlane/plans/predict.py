@@ -10,7 +10,7 @@ from pyspark.ml import Model, Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitlane.functions.hashing import draw_below
+from splitlane.functions.hashing import draw_below, feature_hash
 from splitlane.functions.identity import enrich_identity
 from splitlane.operators.assign import chosen, pick_best, random_assign
 from splitlane.operators.features import CategoryCoder, identity_features
@@ -93,14 +93,18 @@ def variation_codes(mapping: DataFrame, apps: list[AppModel]) -> dict[str, list[
 
 
 def coded_identity(
-    requests: DataFrame, mapping: DataFrame, descriptors: int, extractor: Transformer | None = None
+    requests: DataFrame,
+    mapping: DataFrame,
+    descriptors: int,
+    extractor: Transformer | None = None,
+    hash_fn: Callable[[Column], Column] = feature_hash,
 ) -> DataFrame:
     """Coded identity features of configured requests; unseen values become a seen code.
 
     Another ``extractor`` may turn the hashed ``features`` into the model's.
     """
     hashed = requests.withColumn(
-        "features", identity_features(F.col("identity"), F.col("descriptors"))
+        "features", identity_features(F.col("identity"), F.col("descriptors"), hash_fn)
     )
     coder = extractor or CategoryCoder(mapping, descriptors, ("app_id", "event_id"))
     return coder.transform(hashed)
@@ -112,6 +116,7 @@ def score_apps(
     models: dict[str, Model],
     mapping: DataFrame,
     extractor: Transformer | None = None,
+    hash_fn: Callable[[Column], Column] = feature_hash,
 ) -> list[DataFrame]:
     """Per app, its configured requests with ``scores``, one per variation.
 
@@ -120,7 +125,7 @@ def score_apps(
     conversion, for classifiers.
     """
     width = max(a.n_descriptors for a in apps)
-    coded = coded_identity(requests, mapping, width, extractor)
+    coded = coded_identity(requests, mapping, width, extractor, hash_fn)
     options = variation_codes(mapping, apps)
     return [
         score_options(
@@ -152,7 +157,13 @@ def modelled_apps(apps: DataFrame) -> Iterator[AppModel]:
     return (AppModel(*r) for r in rows.toLocalIterator())
 
 
-def _decide_scored(configured: DataFrame, apps: list[AppModel], loader: ModelLoader) -> DataFrame:
+def _decide_scored(
+    configured: DataFrame,
+    apps: list[AppModel],
+    loader: ModelLoader,
+    extractor: Transformer | None,
+    hash_fn: Callable[[Column], Column],
+) -> DataFrame:
     """Decisions of a few apps' requests by their models."""
     loaded = {a.app_id: loader(a.model_path, a.model_type) for a in apps}
     own = [
@@ -161,7 +172,7 @@ def _decide_scored(configured: DataFrame, apps: list[AppModel], loader: ModelLoa
     ]
     models = {app_id: model for app_id, (model, _) in loaded.items()}
     requests = configured.where(F.col("app_id").isin(list(loaded)))
-    scored = score_apps(requests, apps, models, union_sources(own))
+    scored = score_apps(requests, apps, models, union_sources(own), extractor, hash_fn)
     return union_sources([_decision_columns(pick_best(s)) for s in scored])
 
 
@@ -173,7 +184,11 @@ def _decision_columns(df: DataFrame) -> DataFrame:
 
 
 def decision_plans(
-    requests: DataFrame, registry: DataFrame, loader: ModelLoader | None = None
+    requests: DataFrame,
+    registry: DataFrame,
+    loader: ModelLoader | None = None,
+    extractor: Transformer | None = None,
+    hash_fn: Callable[[Column], Column] = feature_hash,
 ) -> Iterator[DataFrame]:
     """Decisions of all requests, as one plan of random choices and plans of a few scored apps each.
 
@@ -189,7 +204,7 @@ def decision_plans(
     yield _decision_columns(random_assign(laid_out.where(~F.col("_scores"))))
     modelled = modelled_apps(apps)
     while batch := list(islice(modelled, APPS_PER_PLAN)):
-        yield _decide_scored(laid_out.where("_scores"), batch, loader)
+        yield _decide_scored(laid_out.where("_scores"), batch, loader, extractor, hash_fn)
 
 
 def refused_requests(requests: DataFrame, registry: DataFrame) -> DataFrame:
@@ -205,10 +220,14 @@ def refused_requests(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def choose_variation(
-    requests: DataFrame, registry: DataFrame, loader: ModelLoader | None = None
+    requests: DataFrame,
+    registry: DataFrame,
+    loader: ModelLoader | None = None,
+    extractor: Transformer | None = None,
+    hash_fn: Callable[[Column], Column] = feature_hash,
 ) -> DataFrame:
     """Decisions of all requests as one DataFrame, for registries with few modelled apps."""
-    plans = decision_plans(requests, registry, loader)
+    plans = decision_plans(requests, registry, loader, extractor, hash_fn)
     whole = next(plans)
     for plan in plans:
         whole = whole.unionByName(plan)

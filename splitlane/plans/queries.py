@@ -552,6 +552,17 @@ def remap_sample(spark: SparkSession, sf: str) -> DataFrame:
     return coded.select("app_id", "session", *_positions(), "label")
 
 
+def _length_hash(value: Column) -> Column:
+    return F.coalesce(F.char_length(value), F.lit(-1)).cast("double")
+
+
+@query
+def prepare_sample_own_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample with the length of a value as its feature number."""
+    prepared = train.prepare_sample(V.ab(spark, sf), V.two_apps(spark), hash_fn=_length_hash)
+    return prepared.sample.select("app_id", "session", *_positions(), "label", "train")
+
+
 @query
 def prepare_sample(spark: SparkSession, sf: str) -> DataFrame:
     prepared = train.prepare_sample(V.ab(spark, sf), V.two_apps(spark))
@@ -786,15 +797,20 @@ def choose_variation(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def predict_and_log(spark: SparkSession, sf: str) -> DataFrame:
-    apps, loader = _trained_registry(spark, sf)
+def decide_and_log(spark: SparkSession, sf: str, apps: DataFrame, loader: predict.ModelLoader) -> DataFrame:
+    """The logged decisions of all requests."""
     path = scratch_path(spark, "decided")
     enriched = predict.enrich_requests(_requests(spark, sf), V.geo_ranges(spark, sf))
     predict.predict_and_log(
         enriched, apps, lambda rows, _: sinks.append_starts(rows, path), F.lit(NOW_MS), loader
     )
-    logged = sources.scan_starts(spark, path)
+    return sources.scan_starts(spark, path)
+
+
+@query
+def predict_and_log(spark: SparkSession, sf: str) -> DataFrame:
+    apps, loader = _trained_registry(spark, sf)
+    logged = decide_and_log(spark, sf, apps, loader)
     held = _held_against_scores(spark, sf, apps, loader, logged.select("event_id", "variation", "kind"))
     return logged.join(held.select("event_id", "drawn", "best"), "event_id").select(
         "event_id",
@@ -816,6 +832,15 @@ def apply_commands(spark: SparkSession, sf: str) -> DataFrame:
     return registry.apply_commands(V.many_apps(spark, sf), V.commands(spark, sf))
 
 
+@query
+def command_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry version written after all commands were judged."""
+    path = scratch_path(spark, "commands")
+    sinks.write_registry(V.many_apps(spark, sf), path)
+    registry.command_job(spark, path, V.commands(spark, sf))
+    return _registry_columns(sources.read_registry(spark, path))
+
+
 @query
 def recover_registry(spark: SparkSession, sf: str) -> DataFrame:
     return _registry_columns(registry.recover_registry(V.many_apps(spark, sf)))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitlane.functions.hashing import draw_unit
+from splitlane.functions.hashing import draw_unit, feature_hash
 from splitlane.operators.counts import retrain_eligible
 from splitlane.operators.evaluate import evaluate_binary, in_training
 from splitlane.operators.features import (
@@ -87,13 +88,14 @@ def prepare_sample(
     registry: DataFrame,
     n: int | None = None,
     kinds: tuple[str, ...] | None = None,
+    hash_fn: Callable[[Column], Column] = feature_hash,
 ) -> Prepared:
     """Sample, featurize and code all apps at once; one folder per app for the fits to read.
 
     Rows are brought together by app and a large app is split again by size.
     """
     sample = session_sample(latest_n(events, n), kinds)
-    features = settle(feature_vector(sample, registry), "features")
+    features = settle(feature_vector(sample, registry, hash_fn), "features")
     coded, mapping = code_sample(features, registry)
     placed = coded.withColumn("train", in_training()).hint("rebalance", "app_id")
     return Prepared(settle(placed, "coded", ("app_id",)), mapping, registry)
@@ -187,9 +189,14 @@ def retrain_cycle(
     n: int | None = None,
     parallel: int = PARALLEL_FITS,
     now_ms: int | None = None,
+    hash_fn: Callable[[Column], Column] = feature_hash,
+    estimator: Estimator | None = None,
+    failures_path: str | None = None,
 ) -> list[str]:
     """Retrain every eligible app; returns the ids tried.
 
+    Why a training failed is appended to ``failures_path``, if given.
+
     Apps go to Training first, then to Predicting with their model, or to
     NoData when training failed. Model and state are written together, so no
     reader sees one without the other. Only the ids of eligible apps and one
@@ -206,19 +213,21 @@ def retrain_cycle(
     write_registry(registry_update(registry, marks), registry_path)
 
     outcomes: list[tuple[str, str | None, tuple | None]] = []
+    reasons: list[tuple[str, int, str]] = []
     try:
         chosen = lookup_join(events, eligible, "app_id", "inner")
-        prepared = prepare_sample(chosen, registry, n)
+        prepared = prepare_sample(chosen, registry, n, hash_fn=hash_fn)
 
         def one(app_id: str) -> tuple[str, str | None, tuple | None]:
             path = f"{models_path}/app_id={app_id}/trained_at={started}"
             try:
-                done = train_app(prepared, app_id, spec, trained_at=started)
+                done = train_app(prepared, app_id, spec, estimator, started)
                 codes = prepared.mapping.where(F.col("app_id") == app_id)
                 save_model(done.model, codes, path)
                 return app_id, path, done.report.select(*TRAIN_METRICS.names).first()
             except Exception as error:  # one app's failure must not stop the others
                 log.warning("training of app %s failed: %s", app_id, error)
+                reasons.append((app_id, started, f"{type(error).__name__}: {error}"[:2000]))
                 return app_id, None, None
 
         outcomes = list(_in_parallel(spark, one, ids, parallel))
@@ -240,6 +249,9 @@ def retrain_cycle(
         write_registry(
             registry_update(read_registry(spark, registry_path), changes), registry_path
         )
+    if reasons and failures_path:
+        failed = spark.createDataFrame(reasons, "app_id string, failed_at bigint, reason string")
+        failed.write.mode("append").parquet(failures_path)
     # One append for all apps: parallel appends to one folder would undo each other.
     reports = [report for _, _, report in outcomes if report is not None]
     if reports:
