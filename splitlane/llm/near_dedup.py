@@ -9,10 +9,10 @@ A sample is the (shingle, level) that improved consistent weighted sampling pick
 the shingles of one of BINS parts of the hash range; REPEATS independent passes give
 REPEATS samples per band. Alike texts have total weights of a ratio of ``threshold`` at
 least, so of the texts that share a band only those of one class of size, or of two
-neighbouring ones, are compared: with a leader, those unlike it among themselves with a
-new leader, and so on. Groups that are small after LED rounds go to one task each. Links
-have a weighted Jaccard similarity of at least ``threshold``; classes are their connected
-components.
+neighbouring ones, are compared: with the text that meets most others in its groups,
+those unlike it among themselves with a new leader, and so on. Groups of at most LOCAL
+texts after LED rounds are compared in one task each. Links have a weighted Jaccard
+similarity of at least ``threshold``; classes are their connected components.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ THRESHOLD = 0.8
 BINS = 16  # bands
 REPEATS = 4  # samples that must agree in a band
 TABLE = 1 << 18
-ORDERS = 2  # orders of texts by which leaders are chosen
 LED = 2  # rounds in which all groups have leaders
-LOCAL = 256  # texts that one task compares
+LOCAL = 2048  # texts that one task compares
+_COLUMNS = 1024
 _QUANTILES = 1 << 16
 
 
@@ -173,24 +173,58 @@ def _similarity_rows(idf: np.ndarray):
     return rows
 
 
+def _likeness_matrix(texts: list[tuple[np.ndarray, np.ndarray, float]], idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of a bounded group.
+
+    The k-th occurrence of a shingle is a feature of its own, weighing what the shingle does;
+    then the common weight is the weight of common features, a product of matrices.
+    """
+    number = np.concatenate([np.rint(w / idf[_cell(h)]).astype(np.int64) for h, w, _ in texts])
+    text = np.repeat(np.arange(len(texts)), [len(h) for h, *_ in texts])
+    shingle = np.concatenate([h for h, *_ in texts])
+    text, shingle = np.repeat(text, number), np.repeat(shingle, number)
+    occurrence = A.grouped_ranges(np.zeros(len(number), np.int64), number).astype(np.uint64)
+    feature, column = np.unique(A.mix(shingle + occurrence * A.MIX_1), return_inverse=True)
+    weight = np.zeros(len(feature), np.float32)
+    weight[column] = np.sqrt(idf[_cell(shingle)])
+    held = np.bincount(column)
+    # Features of one text alone are common to no pair.
+    place = np.cumsum(held > 1) - 1
+    shared = held[column] > 1
+    text, column, at = text[shared], place[column[shared]], weight[column[shared]]
+    common = np.zeros((len(texts), len(texts)), np.float32)
+    order = np.argsort(column, kind="stable")
+    text, column, at = text[order], column[order], at[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + _COLUMNS])
+        block = np.zeros((len(texts), _COLUMNS), np.float32)
+        block[text[a:b], column[a:b] - lo] = at[a:b]
+        common += block @ block.T
+    total = np.array([t for *_, t in texts])
+    return common / (total[:, None] + total[None, :] - common)
+
+
 def _local_links(idf: np.ndarray, threshold: float):
-    """Links of a small group: each text is compared with every leader of a fitting size so far."""
+    """Links of a small group: all pairs are looked at, those that join two classes returned."""
 
     def links(table: pa.Table) -> pa.Table:
-        table = table.sort_by("tid")
         tids = table["tid"].to_pylist()
         texts = _weighted(table["text"].combine_chunks(), idf)
-        leaders: list[int] = []
+        likeness = _likeness_matrix(texts, idf)
+        root = list(range(len(tids)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
         found: list[tuple[int, int, float]] = []
-        for i, text in enumerate(texts):
-            near = []
-            for j in leaders:
-                small, large = sorted((text[2], texts[j][2]))
-                if small >= threshold * large and (likeness := _likeness(text, texts[j])) >= threshold:
-                    near.append((i, j, likeness))
-            if not near:
-                leaders.append(i)
-            found += near
+        # Products in single precision: pairs near the threshold are worked out once more.
+        for i, j in zip(*np.nonzero(np.tril(likeness >= threshold - 1e-3, -1))):
+            if find(i) != find(j) and (exact := _likeness(texts[i], texts[j])) >= threshold:
+                root[find(i)] = find(j)
+                found.append((i, j, exact))
         return pa.table(
             {
                 "a": pa.array([tids[i] for i, _, _ in found], pa.binary()),
@@ -217,7 +251,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = settle(
         bands.join(settle(shared.select("band", "key"), "shared"), ["band", "key"])
         .withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
-        .select((F.col("band") % ORDERS).alias("order"), F.xxhash64("band", "key", "size").alias("grp"), "tid")
+        .select(F.xxhash64("band", "key", "size").alias("grp"), "tid")
         .distinct(),
         "members",
     )
@@ -225,9 +259,12 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = settle(texts.groupBy("tid").agg(F.first("text").alias("text")).join(needed, "tid", "left_semi"), "texts")
     links: list[DataFrame] = []
     for turn in itertools.count():
-        by = F.struct(F.xxhash64("tid", "order").alias("h"), "tid")
-        groups = members.groupBy("grp").agg(F.min(by)["tid"].alias("leader"), F.count(F.lit(1)).alias("n"))
-        led = settle(members.join(settle(groups.filter("n > 1"), "groups"), "grp"), "led")
+        sizes = settle(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+        sized = settle(members.join(sizes, "grp"), "sized")
+        met = settle(sized.groupBy("tid").agg(F.sum("n").alias("met")), "met")
+        by = F.struct(F.negate("met").alias("m"), "tid")
+        leaders = settle(sized.join(met, "tid").groupBy("grp").agg(F.min(by)["tid"].alias("leader")), "leaders")
+        led = settle(sized.join(leaders, "grp"), "led")
         if turn >= LED:
             small = led.filter(F.col("n") <= LOCAL).select("grp", "tid").join(known, "tid")
             local = small.groupBy("grp").applyInArrow(_local_links(idf, threshold), "a binary, b binary, likeness double")
@@ -250,7 +287,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # The others of a group are compared among themselves next.
         unlike = rated.filter(~alike).select("tid", "leader")
         members = settle(
-            led.join(unlike, ["tid", "leader"]).select("order", F.xxhash64("grp", "leader").alias("grp"), "tid"), "members"
+            led.join(unlike, ["tid", "leader"]).select(F.xxhash64("grp", "leader").alias("grp"), "tid"), "members"
         )
     return union_sources(links) if links else docs.sparkSession.createDataFrame([], "a binary, b binary, likeness double")
 
