@@ -15,7 +15,7 @@ from splitlane.functions.identity import enrich_identity
 from splitlane.operators.assign import chosen, pick_best, random_assign
 from splitlane.operators.features import CategoryCoder, identity_features
 from splitlane.operators.filters import union_sources
-from splitlane.operators.geo import geo_range_join
+from splitlane.operators.geo import PlaceIndex, geo_range_join
 from splitlane.operators.lookup import lookup_join
 from splitlane.operators.trees import class_positions, load_model, score_options
 from splitlane.schema import NO_DATA, PREDICTED, PREDICTING, TRAINING
@@ -40,7 +40,7 @@ class AppModel:
 ModelLoader = Callable[[str, str], tuple[Model, DataFrame]]
 
 
-def enrich_requests(requests: DataFrame, ranges: DataFrame) -> DataFrame:
+def enrich_requests(requests: DataFrame, ranges: DataFrame | PlaceIndex) -> DataFrame:
     """Add client time, place and address to each request's identity."""
     placed = geo_range_join(requests, ranges)
     identity = enrich_identity(

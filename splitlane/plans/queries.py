@@ -38,7 +38,7 @@ from splitlane.operators.trees import (
 )
 from splitlane.plans import predict, train
 from splitlane.plans import views as V
-from splitlane.schema import FINISH, PREDICT, PREDICTED, PREDICTING, REQUESTS, START, SUSPENDED
+from splitlane.schema import FINISH, PREDICT, PREDICTED, PREDICTING, REQUESTS, START, START_EVENTS, SUSPENDED
 from splitlane.session import scratch_path, settle
 from splitlane.sinks import tables as sinks
 from splitlane.sources import tables as sources
@@ -966,6 +966,15 @@ def stream_predict(spark: SparkSession, sf: str) -> DataFrame:
 def stream_retrain_trigger(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "trigger")
     sinks.write_registry(V.two_apps(spark), f"{path}/registry")
-    trigger = jobs.retrain_trigger(lambda: _retrained(spark, V.ab(spark, sf), path))
+
+    def retrain() -> list[str]:
+        """From the decisions logged so far, and the finishes of the table."""
+        logged = sources.scan_starts(spark, f"{path}/out/starts").select(*START_EVENTS.names)
+        starts = logged.withColumn("etype", F.lit(START))
+        finishes = V.ab(spark, sf).where(F.col("etype") == FINISH).select(*starts.columns)
+        return _retrained(spark, starts.unionByName(finishes), path)
+
+    trigger = jobs.retrain_trigger(retrain, background=True)
     _predict_stream(spark, sf, path, trigger)
+    trigger.wait()
     return _registry_outcome(spark, path)

@@ -7,6 +7,7 @@ run again, so a batch repeated after a failure leaves its rows once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from splitlane.operators.filters import stamp_server_time
+from splitlane.operators.geo import PlaceIndex, place_index
 from splitlane.operators.latest import SESSION_KEYS
 from splitlane.operators.sessions import session_sample
 from splitlane.operators.lookup import lookup_join
@@ -82,7 +84,11 @@ def judge_requests(requests: DataFrame, registry: DataFrame | None) -> DataFrame
 
 
 def ingest_batch(
-    requests: DataFrame, ranges: DataFrame, out: str, batch_id: int, registry: DataFrame | None = None
+    requests: DataFrame,
+    ranges: DataFrame | PlaceIndex,
+    out: str,
+    batch_id: int,
+    registry: DataFrame | None = None,
 ) -> None:
     """Start and finish requests of one batch to their tables, all others to quarantine with the reason.
 
@@ -118,9 +124,11 @@ def stream_ingest(
     registry_path: str | None = None,
 ) -> StreamingQuery:
     """Continuous ingest of start and finish requests; run states are read anew for each batch."""
+    places = place_index(ranges)
+
     def work(df: DataFrame, batch_id: int) -> None:
         registry = read_registry(df.sparkSession, registry_path) if registry_path else None
-        ingest_batch(df, ranges, out, batch_id, registry)
+        ingest_batch(df, places, out, batch_id, registry)
 
     return _start(requests, work, checkpoint, "append", once)
 
@@ -187,8 +195,11 @@ def stream_predict(
     run again first clears what the attempt before it has logged.
 
     The registry is read anew for each batch, so a finished training is used
-    from the next batch on. ``after_batch`` is the place for the retrain trigger.
+    from the next batch on. ``after_batch`` is the place for the retrain trigger. The
+    ranges are measured and listed once, when the stream starts.
     """
+    places = place_index(ranges)
+
     def work(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -197,7 +208,7 @@ def stream_predict(
             remove_folder(spark, f"{out}/starts/batch_id={batch_id}")
             registry = read_registry(spark, registry_path)
             wanted, bad = decode_predicts(df.where(F.col("route") == PREDICT))
-            enriched = enrich_requests(wanted, ranges)
+            enriched = enrich_requests(wanted, places)
             predict_and_log(
                 enriched.withColumn("ts_ms", server_time()),
                 registry,
@@ -214,10 +225,34 @@ def stream_predict(
     return _start(requests, work, checkpoint, "append", once)
 
 
-def retrain_trigger(retrain: Callable[[], list[str]], every: int = 1) -> Callable[[int], None]:
-    """An ``after_batch`` hook running the retrain cycle at the end of every n-th batch."""
-    def after(batch_id: int) -> None:
-        if batch_id % every == 0:
-            retrain()
+class RetrainTrigger:
+    """An ``after_batch`` hook running the retrain cycle at the end of every n-th batch.
+
+    In the background, the stream goes on deciding with the former models while one
+    training runs; a trigger that comes meanwhile is left out.
+    """
 
-    return after
+    def __init__(self, retrain: Callable[[], list[str]], every: int = 1, background: bool = False) -> None:
+        self.retrain, self.every, self.background = retrain, every, background
+        self._pool = ThreadPoolExecutor(max_workers=1) if background else None
+        self._running: Future | None = None
+
+    def __call__(self, batch_id: int) -> None:
+        if batch_id % self.every:
+            return
+        if self._pool is None:
+            self.retrain()
+        elif self._running is None or self._running.done():
+            self.wait()
+            self._running = self._pool.submit(self.retrain)
+
+    def wait(self) -> None:
+        """Wait for the training that runs, and raise what made it fail."""
+        if self._running is not None:
+            self._running.result()
+
+
+def retrain_trigger(
+    retrain: Callable[[], list[str]], every: int = 1, background: bool = False
+) -> RetrainTrigger:
+    return RetrainTrigger(retrain, every, background)

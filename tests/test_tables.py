@@ -130,3 +130,49 @@ def test_retrain_trigger_runs_on_every_nth_batch():
     for batch_id in range(7):
         after(batch_id)
     assert len(seen) == 3
+
+
+def test_requests_of_unknown_routes_and_refused_apps_are_kept_apart(spark):
+    path = scratch_path(spark, "refused")
+    ranges = spark.createDataFrame([], "ip_from bigint, ip_to bigint, city string, country string")
+    start = '{"session":"s","variation":"1"}'
+    batch = spark.createDataFrame(
+        [
+            (1, APP, "start", None, 1, start), (2, APP, "visit", None, 1, start), (3, APP, None, None, 1, start),
+            (4, "x", "start", None, 1, start), (5, "y", "finish", None, 1, "{}"), (6, "x", "predict", None, 1, "{}"),
+        ],
+        REQUESTS,
+    )
+    states = spark.createDataFrame([(APP, "NoData"), ("y", "Suspended")], "app_id string, run_state string")
+    jobs.ingest_batch(batch, ranges, path, 0, states)
+    assert [r.event_id for r in sources.scan_starts(spark, f"{path}/starts").collect()] == [1]
+    away = spark.read.parquet(f"{path}/quarantine").collect()
+    assert {r.event_id: r.fault for r in away} == {
+        2: "unknown route", 3: "unknown route", 4: "unknown app", 5: "app is Suspended",
+    }
+
+
+def test_overlapping_ranges_leave_an_event_one_row(spark):
+    from splitlane.operators.geo import geo_range_join, place_index
+
+    ranges = spark.createDataFrame(
+        [(0, 1000, "wide", "L"), (10, 20, "narrow", "L"), (15, 25, "later", "L"), (10, 20, "aaa", "L")],
+        "ip_from bigint, ip_to bigint, city string, country string",
+    )
+    events = spark.createDataFrame([(1, 12), (2, 18), (3, 22), (4, 500), (5, 5000), (6, None)], "event_id bigint, ip_num bigint")
+    for where in (ranges, place_index(ranges)):
+        got = {r.event_id: r.city for r in geo_range_join(events, where).collect()}
+        assert got == {1: "aaa", 2: "aaa", 3: "later", 4: "wide", 5: "<unknown>", 6: None}
+        assert geo_range_join(events, where).count() == 6
+
+
+def test_background_trigger_runs_one_training_at_a_time():
+    import threading
+
+    go, seen = threading.Event(), []
+    after = jobs.retrain_trigger(lambda: (go.wait(10), seen.append(1)) and [], background=True)
+    for batch_id in range(3):
+        after(batch_id)
+    go.set()
+    after.wait()
+    assert len(seen) == 1

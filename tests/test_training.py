@@ -104,6 +104,27 @@ def test_more_apps_than_one_plan_holds(spark, prepared, trained, monkeypatch):
     assert len(plans) == 4 and sum(p.count() for p in plans) == 50
 
 
+@pytest.mark.parametrize("n", [1, 5, 20])
+def test_requests_are_read_once_for_any_number_of_apps(spark, prepared, trained, n):
+    ids = [str(i).zfill(24) for i in range(n)]
+    one = population_app(spark, state="Predicting", predicting_from=1, model_path="m")
+    apps = one.drop("app_id").crossJoin(spark.createDataFrame([(i,) for i in ids], "app_id string"))
+    people = requests(spark, visitors(WEIGHTS_A, 10, 3)).drop("app_id").crossJoin(apps.select("app_id"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    codes = prepared.mapping.drop("app_id").crossJoin(apps.select("app_id"))
+    seen = people.select("app_id", "event_id").mapInArrow(counted, "app_id string, event_id bigint")
+    watched = people.join(seen, ["app_id", "event_id"])
+    plans = list(predict.decision_plans(watched, apps.select(*one.columns), lambda *_: (trained.model, codes)))
+    assert sum(p.count() for p in plans) == 10 * n
+    assert read.value == 10 * n
+
+
 def test_model_survives_saving(spark, prepared, trained):
     path = scratch_path(spark, "model")
     save_model(trained.model, prepared.mapping, path)
