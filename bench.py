@@ -42,6 +42,8 @@ HEADLINE = (
     "apply_commands",
     "append_start",
     "stream_session_sample",
+    "dump_sample",
+    "stream_predict",
     "train_and_evaluate",
     "predict_and_log",
 )

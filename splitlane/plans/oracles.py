@@ -428,8 +428,8 @@ changes AS (
     "dump_sample": _with(
         SAMPLE,
         """SELECT coalesce(segment, '') AS segment, coalesce(nation, '') AS nation, day, variation,
-             CASE WHEN goal THEN 'true' ELSE 'false' END AS result
-           FROM sample WHERE app_id = '000000000000000000000000'""",
+             CASE WHEN goal THEN 'true' ELSE 'false' END AS result, app_id
+           FROM sample""",
     ),
     "filter_app": _with(
         BASE, "SELECT event_id, app_id, etype FROM ev WHERE app_id = '000000000000000000000001'"

@@ -220,11 +220,16 @@ def update_where(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dump_sample(spark: SparkSession, sf: str) -> DataFrame:
-    sample = sessions.session_sample(filters.filter_app(V.ab(spark, sf), APP_0))
+    """The samples of both apps, each dumped to files of its own and read back."""
     names = ["segment", "nation", "day"]
-    path = sinks.dump_sample(sample, names, scratch_path(spark, "dump"))
     schema = ", ".join(f"{n} string" for n in [*names, "variation", "result"])
-    return spark.read.schema(schema).option("header", True).csv(path).na.fill("")
+    sample = settle(sessions.session_sample(V.ab(spark, sf)), "sample")
+    parts = []
+    for app_id in (APP_0, APP_1):
+        path = sinks.dump_sample(filters.filter_app(sample, app_id), names, scratch_path(spark, "dump"))
+        dumped = spark.read.schema(schema).option("header", True).csv(path).na.fill("")
+        parts.append(dumped.withColumn("app_id", F.lit(app_id)))
+    return filters.union_sources(parts)
 
 
 # --- projections, filters, scalar functions --------------------------------------------------
