@@ -7,7 +7,9 @@ so cutting bytes is the same as cutting characters. All hashes are 64 bits wide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,17 @@ MIX_2 = np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_powers: dict[int, np.ndarray] = {}
+
+def remembered(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once per process.
+
+    Functions reach a worker by value, each with modules of its own, so a module's
+    variable would be made again, and kept until the garbage is collected, for every task.
+    """
+    kept = sys.modules.setdefault("splitlane_llm_kept", types.ModuleType("splitlane_llm_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,12 +48,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """``base`` to the powers 0 to n - 1, modulo 2**64."""
-    known = _powers.get(int(base))
-    if known is None or len(known) < n:
-        factors = np.full(max(n, 1 << 16), base, np.uint64)
-        factors[0] = 1
-        known = _powers[int(base)] = np.cumprod(factors)
-    return known[:n]
+    # Lengths are rounded up to powers of two, so that few tables are made.
+    length = 1 << max(n - 1, 1 << 19).bit_length()
+    return remembered(("powers", int(base), length), lambda: _power_table(base, length))[:n]
+
+
+def _power_table(base: np.uint64, length: int) -> np.ndarray:
+    factors = np.full(length, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
 
 
 def _inverse(base: np.uint64) -> np.uint64:

@@ -191,13 +191,9 @@ def encode_texts(vocabulary: Vocabulary, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-_loaded: dict[int, Vocabulary] = {}
-
-
 def _vocabulary(sent) -> Vocabulary:
-    if id(sent) not in _loaded:
-        _loaded[id(sent)] = Vocabulary(sent.value)
-    return _loaded[id(sent)]
+    content = sent.value
+    return A.remembered(("vocabulary", content), lambda: Vocabulary(content))
 
 
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:

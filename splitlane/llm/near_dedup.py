@@ -2,15 +2,16 @@
 
 Weights are the number of times a shingle of five words occurs in a text, times its
 inverse document frequency. Frequencies are counted for all documents in a table of
-fixed size; its expected collisions are taken off, and counts below the square root of
-the number of documents, many times the table's noise, are not told apart.
+fixed size; its expected collisions are taken off. Shingles in fewer than a RARE share of
+all documents, and counts within the table's noise, are not told apart: what a family of
+near-copies shares must not weigh less than what its members change.
 
 A sample is the (shingle, level) that improved consistent weighted sampling picks among
 the shingles of one of BINS parts of the hash range; REPEATS independent passes give
 REPEATS samples per band. Alike texts have total weights of a ratio of ``threshold`` at
 least, so of the texts that share a band only those of one class of size, or of two
-neighbouring ones, are compared: with the text that meets most others in its groups,
-those unlike it among themselves with a new leader, and so on. Groups of at most LOCAL
+neighbouring ones, are compared: with the LEADERS texts that meet most others in their
+groups, those unlike all of them among themselves with new leaders, and so on. Groups of at most LOCAL
 texts after LED rounds are compared in one task each. Links have a weighted Jaccard
 similarity of at least ``threshold``; classes are their connected components.
 """
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from splitlane.llm import arrays as A
 from splitlane.llm.components import connected_components
@@ -35,6 +37,8 @@ THRESHOLD = 0.8
 BINS = 16  # bands
 REPEATS = 4  # samples that must agree in a band
 TABLE = 1 << 18
+RARE = 0.1
+LEADERS = 3  # texts of a group that all its others are compared with in a round
 LED = 2  # rounds in which all groups have leaders
 LOCAL = 2048  # texts that one task compares
 _COLUMNS = 1024
@@ -81,7 +85,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     found[cell[cell >= 0]] = number[cell >= 0]
     total = float(number[cell < 0].sum())
     alone = found - (found.sum() - found) / (TABLE - 1)
-    return (1 + np.log10((1 + total) / (1 + np.maximum(alone, np.sqrt(total))))).astype(np.float32)
+    least = max(np.sqrt(total), RARE * total)
+    return (1 + np.log10((1 + total) / (1 + np.maximum(alone, least)))).astype(np.float32)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +100,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def band_keys(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
     """BINS keys for each of ``texts`` texts; texts without shingles have keys too, to be ignored."""
-    gamma, log_gamma, uniform = _tables()
+    gamma, log_gamma, uniform = A.remembered(("quantiles",), _tables)
     low = np.uint64(_QUANTILES - 1)
     keys = np.zeros((texts, BINS), np.uint64)
     log_weight = np.log(weight)
@@ -262,15 +267,21 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         sizes = settle(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
         sized = settle(members.join(sizes, "grp"), "sized")
         met = settle(sized.groupBy("tid").agg(F.sum("n").alias("met")), "met")
-        by = F.struct(F.negate("met").alias("m"), "tid")
-        leaders = settle(sized.join(met, "tid").groupBy("grp").agg(F.min(by)["tid"].alias("leader")), "leaders")
-        led = settle(sized.join(leaders, "grp"), "led")
+        central = Window.partitionBy("grp").orderBy(F.desc("met"), "tid")
+        leaders = settle(
+            sized.join(met, "tid")
+            .withColumn("k", F.row_number().over(central))
+            .filter(F.col("k") <= LEADERS)
+            .select("grp", F.col("tid").alias("leader")),
+            "leaders",
+        )
+        led = sized
         if turn >= LED:
             small = led.filter(F.col("n") <= LOCAL).select("grp", "tid").join(known, "tid")
             local = small.groupBy("grp").applyInArrow(_local_links(idf, threshold), "a binary, b binary, likeness double")
             links.append(settle(local, "links"))
             led = led.filter(F.col("n") > LOCAL)
-        led = led.filter("tid != leader").drop("n")
+        led = settle(led.drop("n").join(leaders, "grp").filter("tid != leader"), "led")
         if led.isEmpty():
             break
         rated = settle(
@@ -284,10 +295,13 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         )
         alike = F.col("likeness") >= threshold
         links.append(rated.filter(alike).select(F.col("tid").alias("a"), F.col("leader").alias("b"), "likeness"))
-        # The others of a group are compared among themselves next.
-        unlike = rated.filter(~alike).select("tid", "leader")
+        # Texts unlike all leaders of their group are compared among themselves next.
+        best = led.join(rated, ["tid", "leader"]).groupBy("grp", "tid").agg(F.max("likeness").alias("best"))
         members = settle(
-            led.join(unlike, ["tid", "leader"]).select(F.xxhash64("grp", "leader").alias("grp"), "tid"), "members"
+            best.filter(F.col("best") < threshold)
+            .join(leaders.withColumnRenamed("leader", "tid"), ["grp", "tid"], "left_anti")
+            .select("grp", "tid"),
+            "members",
         )
     return union_sources(links) if links else docs.sparkSession.createDataFrame([], "a binary, b binary, likeness double")
 
