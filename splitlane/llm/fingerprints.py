@@ -23,6 +23,7 @@ LOW, HIGH = 0.002, 0.2
 SUBLEXICONS = ((1, 1), (4, 1), (16, 6), (64, 10), (256, 16))
 CODES = sum(number for _, number in SUBLEXICONS)
 EMPTY = "-" * 8
+NO_ID = -(1 << 63)  # stands for a null id between the joins
 
 
 def distinct_terms(text: Column) -> Column:
@@ -120,21 +121,17 @@ def next_ids(docs: DataFrame) -> DataFrame:
 def with_edits(docs: DataFrame, following: DataFrame) -> DataFrame:
     """doc_id, tkey, text, edited: the second half of each text replaced from the next document's start."""
     # Both joins read the same rows by the same key, so that the texts are shuffled once.
-    numbered = docs.filter("doc_id is not null")
     heads = (
-        numbered.join(following.withColumnsRenamed({"doc_id": "prev_id", "next_id": "doc_id"}), "doc_id")
+        docs.join(following.withColumnsRenamed({"doc_id": "prev_id", "next_id": "doc_id"}), "doc_id")
         .select("prev_id", "tkey", F.left("text", F.col("need")).alias("head"))
         .groupBy("prev_id")
         .agg(F.min_by("head", "tkey").alias("head"))
     )
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
-    kept = F.left("text", size - half)
-    edited = F.concat(kept, F.left(F.coalesce("head", F.lit("")), half))
-    own = ("doc_id", "tkey", "text")
-    known = numbered.join(heads.withColumnRenamed("prev_id", "doc_id"), "doc_id", "left")
-    return known.select(*own, edited.alias("edited")).unionByName(
-        docs.filter("doc_id is null").select(*own, kept.alias("edited"))
+    edited = F.concat(F.left("text", size - half), F.left(F.coalesce("head", F.lit("")), half))
+    return docs.join(heads.withColumnRenamed("prev_id", "doc_id"), "doc_id", "left").select(
+        "doc_id", "tkey", "text", edited.alias("edited")
     )
 
 
@@ -146,8 +143,9 @@ def fingerprint_documents(docs: DataFrame, low: float = LOW, high: float = HIGH)
     edited text is its first half, their near_next 0. Equal texts have equal fingerprints,
     whether or not they hold lexicon terms.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = texts.select("doc_id", text_key(F.col("text")).alias("tkey"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # A key that is never null keeps rows without an id in the joins, and their order of rows.
+    keyed = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text_key(F.col("text")).alias("tkey"), "text")
     following = next_ids(texts)
     known = lexicon(texts, low, high)
     small = fits_broadcast(known)
@@ -199,7 +197,7 @@ def fingerprint_documents(docs: DataFrame, low: float = LOW, high: float = HIGH)
         prints.join(nexts, "doc_id", "left")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select(
-            "doc_id",
+            F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
             "n_chars",
             "edited_sha256",
             "fingerprint",
