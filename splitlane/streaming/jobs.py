@@ -138,8 +138,11 @@ def stream_session_sample(
 ) -> StreamingQuery:
     """The session sample kept up to date: each batch writes the sessions it changed.
 
-    A session stays open for ever, as a finish counts however late it comes.
+    A session stays open for ever, as a finish counts however late it comes; so its state
+    is held on disk.
     """
+    keep_state_on_disk(events.sparkSession)
+
     def work(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
