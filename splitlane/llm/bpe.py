@@ -214,6 +214,18 @@ def bpe_decode(ids: Column, vocabulary: Vocabulary) -> Column:
     return decode(ids)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Small batches put together to about BATCH_BYTES of text, as pieces are merged once per batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.column(text).nbytes for b in held) >= BATCH_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def bpe_roundtrip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``docs`` with ``ids`` (little-endian unsigned 32-bit numbers), ``n_tokens`` and ``decoded``.
 
@@ -228,7 +240,7 @@ def bpe_roundtrip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(sent)
-        for batch in A.slices(batches, "text", BATCH_BYTES):
+        for batch in A.slices(_gathered(batches, at), "text", BATCH_BYTES):
             ids = encode_texts(known, batch.column(at).fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [

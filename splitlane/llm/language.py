@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from splitlane.llm import arrays as A
-from splitlane.llm.tables import id_order, id_remainder
+from splitlane.llm.tables import id_order, id_remainder, in_small_batches
 from splitlane.session import settle
 
 BUCKETS = 1 << 16
@@ -174,7 +174,7 @@ def fit_language_model(docs: DataFrame) -> LanguageModel:
     All documents count for the document frequencies; PER_LANGUAGE of each language, first
     in the order of the md5 of their ids, take part in the fit.
     """
-    known = docs.select("doc_id", "text", "lang").dropna()
+    known = in_small_batches(docs).select("doc_id", "text", "lang").dropna()
     by = Window.partitionBy("lang").orderBy(id_order(F.col("doc_id")), "doc_id")
     chosen = settle(
         known.select("doc_id", "lang").withColumn("k", F.row_number().over(by)).filter(F.col("k") <= PER_LANGUAGE),

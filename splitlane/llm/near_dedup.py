@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from splitlane.llm import arrays as A
 from splitlane.llm.components import connected_components
+from splitlane.llm.tables import in_small_batches
 from splitlane.operators.filters import union_sources
 from splitlane.session import settle
 
@@ -244,7 +245,7 @@ def _local_links(idf: np.ndarray, threshold: float):
 def text_ids(docs: DataFrame) -> DataFrame:
     """tid (md5 of the text, 16 bytes) and text of every row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.unhex(F.md5(text)).alias("tid"), text.alias("text"))
+    return in_small_batches(docs).select(F.unhex(F.md5(text)).alias("tid"), text.alias("text"))
 
 
 def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitlane.llm import arrays as A
-from splitlane.llm.tables import id_order
+from splitlane.llm.tables import id_order, in_small_batches
 from splitlane.llm.thresholds import HASH_BITS, budget_cuts, hash60
 from splitlane.session import settle
 
@@ -101,7 +101,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, keep: float | None =
         keep = 1.0 if keep is None else keep
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     chosen = good.orderBy(id_order(F.col("doc_id")), "doc_id").limit(targets)
-    raw = ngram_model(docs)
+    raw = ngram_model(in_small_batches(docs))
     target = ngram_model(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))  # at most ``targets`` ids
     ratio = target - raw if chosen.take(1) else np.zeros(BUCKETS)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitlane.llm import arrays as A
-from splitlane.llm.tables import text_key
+from splitlane.llm.tables import in_small_batches, text_key
 from splitlane.session import settle
 
 SEGMENTS = "doc_id long, tkey long, start long, n int, off int, anchor long, seg long"
@@ -157,7 +157,7 @@ class Repeats:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, text: rows equal in all three are treated alike, whatever their number."""
-    return docs.select(
+    return in_small_batches(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
         text_key(F.col("text")).alias("tkey"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),

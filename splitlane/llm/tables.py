@@ -9,6 +9,19 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Rows of one Arrow batch. Texts are long: at Spark's 10,000 rows a batch, its copies in the
+# executor and its Python workers take hundreds of MB.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs`` itself; from now on its session hands texts to Python BATCH_ROWS at a time, or fewer if so set."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return docs
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

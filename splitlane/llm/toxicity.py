@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitlane.llm import arrays as A
-from splitlane.llm.tables import id_order, id_remainder
+from splitlane.llm.tables import id_order, id_remainder, in_small_batches
 from splitlane.session import settle
 
 SAMPLE = 20_000  # labelled documents that the fit may use
@@ -172,6 +172,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     Rows with a null doc_id or label are left out; a document labelled twice has the larger label.
     With one label only, every text gets that label's share.
     """
+    in_small_batches(docs)
     known = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .dropna()
