@@ -10,15 +10,14 @@ A sample is the (shingle, level) that improved consistent weighted sampling pick
 the shingles of one of BINS parts of the hash range; REPEATS independent passes give
 REPEATS samples per band. Alike texts have total weights of a ratio of ``threshold`` at
 least, so of the texts that share a band only those of one class of size, or of two
-neighbouring ones, are compared: with the LEADERS texts that meet most others in their
-groups, those unlike all of them among themselves with new leaders, and so on. Groups of at most LOCAL
-texts after LED rounds are compared in one task each. Links have a weighted Jaccard
-similarity of at least ``threshold``; classes are their connected components.
+neighbouring ones, are compared: first with the LEADERS texts that meet most others in
+their groups. A group whose texts these links join has nothing left to join; in all others
+every pair of texts not joined yet is compared, in blocks of about LOCAL texts. Links have a
+weighted Jaccard similarity of at least ``threshold``; classes are their connected components.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +38,8 @@ BINS = 16  # bands
 REPEATS = 4  # samples that must agree in a band
 TABLE = 1 << 18
 RARE = 0.1
-LEADERS = 3  # texts of a group that all its others are compared with in a round
-LED = 2  # rounds in which all groups have leaders
-LOCAL = 2048  # texts that one task compares
+LEADERS = 3  # texts of a group that all its others are compared with first
+LOCAL = 512  # texts that one task compares, about
 _COLUMNS = 1024
 _QUANTILES = 1 << 16
 
@@ -211,13 +209,15 @@ def _likeness_matrix(texts: list[tuple[np.ndarray, np.ndarray, float]], idf: np.
 
 
 def _local_links(idf: np.ndarray, threshold: float):
-    """Links of a small group: all pairs are looked at, those that join two classes returned."""
+    """Links of a block: all pairs of different roots are looked at, those that join two classes returned."""
 
     def links(table: pa.Table) -> pa.Table:
         tids = table["tid"].to_pylist()
         texts = _weighted(table["text"].combine_chunks(), idf)
         likeness = _likeness_matrix(texts, idf)
-        root = list(range(len(tids)))
+        code = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
+        apart = code[:, None] != code[None, :]
+        root = list(range(code.max() + 1))
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -227,9 +227,10 @@ def _local_links(idf: np.ndarray, threshold: float):
 
         found: list[tuple[int, int, float]] = []
         # Products in single precision: pairs near the threshold are worked out once more.
-        for i, j in zip(*np.nonzero(np.tril(likeness >= threshold - 1e-3, -1))):
-            if find(i) != find(j) and (exact := _likeness(texts[i], texts[j])) >= threshold:
-                root[find(i)] = find(j)
+        for i, j in zip(*np.nonzero(np.tril((likeness >= threshold - 1e-3) & apart, -1))):
+            one, other = find(code[i]), find(code[j])
+            if one != other and (exact := _likeness(texts[i], texts[j])) >= threshold:
+                root[one] = other
                 found.append((i, j, exact))
         return pa.table(
             {
@@ -242,6 +243,41 @@ def _local_links(idf: np.ndarray, threshold: float):
     return links
 
 
+def _blocks(members: DataFrame, links: DataFrame) -> DataFrame:
+    """grp, i, j, tid, root: blocks in which all pairs of a group's texts that ``links`` don't join meet.
+
+    The texts of a group's largest class are joined among themselves. They and the rest are
+    dealt into parts of about LOCAL / 2 texts; each part of the rest meets every other part.
+    """
+    roots = connected_components(links).select(F.col("node").alias("tid"), "root")
+    rooted = settle(members.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid")), "rooted")
+    held = rooted.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n"))
+    groups = held.groupBy("grp").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("top")
+    )
+    side = max(LOCAL // 2, 1)
+    whole = F.col("n") <= LOCAL
+    parts = settle(
+        groups.filter("most < n").select(
+            "grp",
+            "top",
+            F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / side)).cast("int").alias("rest"),
+            F.when(whole, 0).otherwise(F.ceil(F.col("most") / side)).cast("int").alias("tops"),
+        ),
+        "parts",
+    )
+    drawn = F.xxhash64("tid", "grp")
+    topmost = (F.col("root") == F.col("top")) & (F.col("tops") > 0)
+    part = F.when(topmost, F.col("rest") + F.pmod(drawn, "tops")).otherwise(F.pmod(drawn, "rest")).cast("int")
+    # A part of the largest class meets those of the rest only.
+    last = F.when(topmost, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1
+    other = F.explode(F.sequence(F.lit(0), last)).alias("other")
+    met = rooted.join(parts, "grp").select("grp", "tid", "root", part.alias("part"), other, (F.col("rest") + F.col("tops")).alias("parts"))
+    return met.filter("part != other or parts = 1").select(
+        "grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "tid", "root"
+    )
+
+
 def text_ids(docs: DataFrame) -> DataFrame:
     """tid (md5 of the text, 16 bytes) and text of every row."""
     text = F.coalesce("text", F.lit(""))
@@ -263,48 +299,41 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     needed = members.select("tid").distinct()
     known = settle(texts.groupBy("tid").agg(F.first("text").alias("text")).join(needed, "tid", "left_semi"), "texts")
-    links: list[DataFrame] = []
-    for turn in itertools.count():
-        sizes = settle(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-        sized = settle(members.join(sizes, "grp"), "sized")
-        met = settle(sized.groupBy("tid").agg(F.sum("n").alias("met")), "met")
-        central = Window.partitionBy("grp").orderBy(F.desc("met"), "tid")
-        leaders = settle(
-            sized.join(met, "tid")
-            .withColumn("k", F.row_number().over(central))
-            .filter(F.col("k") <= LEADERS)
-            .select("grp", F.col("tid").alias("leader")),
-            "leaders",
-        )
-        led = sized
-        if turn >= LED:
-            small = led.filter(F.col("n") <= LOCAL).select("grp", "tid").join(known, "tid")
-            local = small.groupBy("grp").applyInArrow(_local_links(idf, threshold), "a binary, b binary, likeness double")
-            links.append(settle(local, "links"))
-            led = led.filter(F.col("n") > LOCAL)
-        led = settle(led.drop("n").join(leaders, "grp").filter("tid != leader"), "led")
-        if led.isEmpty():
-            break
-        rated = settle(
-            led.select("tid", "leader")
-            .distinct()
-            .join(known, "tid")
-            .join(known.select(F.col("tid").alias("leader"), F.col("text").alias("other")), "leader")
-            .select("tid", "leader", "text", "other")
-            .mapInArrow(_similarity_rows(idf), "tid binary, leader binary, likeness double"),
-            "rated",
-        )
-        alike = F.col("likeness") >= threshold
-        links.append(rated.filter(alike).select(F.col("tid").alias("a"), F.col("leader").alias("b"), "likeness"))
-        # Texts unlike all leaders of their group are compared among themselves next.
-        best = led.join(rated, ["tid", "leader"]).groupBy("grp", "tid").agg(F.max("likeness").alias("best"))
-        members = settle(
-            best.filter(F.col("best") < threshold)
-            .join(leaders.withColumnRenamed("leader", "tid"), ["grp", "tid"], "left_anti")
-            .select("grp", "tid"),
-            "members",
-        )
-    return union_sources(links) if links else docs.sparkSession.createDataFrame([], "a binary, b binary, likeness double")
+    # Most groups are found by many bands: groups of the same texts count once.
+    alike = members.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("tid").cast("decimal(38,0)")).alias("same")
+    )
+    sizes = settle(alike.filter("n > 1").groupBy("n", "same").agg(F.min("grp").alias("grp")).select("grp", "n"), "sizes")
+    sized = settle(members.join(sizes, "grp"), "sized")
+    met = settle(sized.groupBy("tid").agg(F.sum("n").alias("met")), "met")
+    central = Window.partitionBy("grp").orderBy(F.desc("met"), "tid")
+    leaders = settle(
+        sized.join(met, "tid")
+        .withColumn("k", F.row_number().over(central))
+        .filter(F.col("k") <= LEADERS)
+        .select("grp", F.col("tid").alias("leader")),
+        "leaders",
+    )
+    rated = settle(
+        sized.join(leaders, "grp")
+        .filter("tid != leader")
+        .select("tid", "leader")
+        .distinct()
+        .join(known, "tid")
+        .join(known.select(F.col("tid").alias("leader"), F.col("text").alias("other")), "leader")
+        .select("tid", "leader", "text", "other")
+        .mapInArrow(_similarity_rows(idf), "tid binary, leader binary, likeness double"),
+        "rated",
+    )
+    led = rated.filter(F.col("likeness") >= threshold).select(F.col("tid").alias("a"), F.col("leader").alias("b"), "likeness")
+    # Where at most one text isn't a leader, all pairs have been compared.
+    blocks = _blocks(sized.filter(F.col("n") > LEADERS + 1).select("grp", "tid"), led)
+    local = (
+        blocks.join(known, "tid")
+        .groupBy("grp", "i", "j")
+        .applyInArrow(_local_links(idf, threshold), "a binary, b binary, likeness double")
+    )
+    return union_sources([led, settle(local, "links")])
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

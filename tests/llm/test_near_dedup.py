@@ -100,3 +100,13 @@ def test_unlike_texts_that_share_bands(spark, monkeypatch, local):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got, expected = classes(docs)
     assert got == expected
+
+
+@pytest.mark.parametrize("local", [16, 512])
+def test_no_pair_of_a_group_goes_unmeasured(spark, monkeypatch, local):
+    """A drifting family in one band group: only neighbours are alike, and every link counts."""
+    monkeypatch.setattr(near_dedup_module, "LOCAL", local)
+    monkeypatch.setattr(near_dedup_module, "band_keys", lambda text, shingle, weight, texts: np.zeros((texts, 16), np.uint64))
+    rows = [(i, words(8 * i, 100)) for i in range(40)] + [(1000 + i, words(10000 * (i + 1), 100)) for i in range(4)]
+    got, expected = classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == expected and len({c for *_, c in got}) == 5
