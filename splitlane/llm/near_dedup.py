@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 BINS = 16  # bands
 REPEATS = 4  # samples that must agree in a band
 TABLE = 1 << 18
-RARE = 0.1
+RARE = 0.5  # above the share of the largest family to be expected
 LEADERS = 3  # texts of a group that all its others are compared with first
 LOCAL = 512  # texts that one task compares, about
 _COLUMNS = 1024

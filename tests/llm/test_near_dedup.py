@@ -110,3 +110,12 @@ def test_no_pair_of_a_group_goes_unmeasured(spark, monkeypatch, local):
     rows = [(i, words(8 * i, 100)) for i in range(40)] + [(1000 + i, words(10000 * (i + 1), 100)) for i in range(4)]
     got, expected = classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == expected and len({c for *_, c in got}) == 5
+
+
+def test_a_family_of_a_third_of_the_rows(spark):
+    """Pairs of a plain similarity of 0.82 are alike, however large their family is."""
+    rows = [(i, words(0, 104) + " " + words(10000 + 100 * i, 11)) for i in range(20)]
+    rows += [(100 + i, words(100000 * (i + 1), 115)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup(docs).collect()}
+    assert all(got[i] == (0 if i < 20 else i) for i, _ in rows)
