@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlane.llm.bpe import bpe_roundtrip, load_vocabulary
@@ -12,11 +12,12 @@ from splitlane.llm.fingerprints import fingerprint_documents
 from splitlane.llm.language import identify_language
 from splitlane.llm.mixing import mix_sources, mixing_plan, sized
 from splitlane.llm.near_dedup import near_dedup
+from splitlane.llm.periodic import best_run, periodic_runs
 from splitlane.llm.neighbours import nearest_neighbours
 from splitlane.llm.quality import importance_resample
 from splitlane.llm.substring_dedup import substring_dedup
 from splitlane.llm.suffix_dedup import suffix_dedup
-from splitlane.llm.tables import read_table
+from splitlane.llm.tables import WORD, read_table
 from splitlane.llm.toxicity import rate_toxicity
 from splitlane.session import settle
 
@@ -101,3 +102,42 @@ def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return importance_resample(docs, read_table(spark, sf, "labels"))
+
+
+def planted_periods(doc_id: Column, text: Column) -> Column:
+    """The text of op11: in one document of ten, from a word a on, the words repeat with period p.
+
+    h = unsigned crc32 of the decimal doc_id, g = h div 10; if h mod 10 = 0 and the text has
+    n > 0 words, word i >= a becomes word a + (i - a) mod p, with a = g mod n and
+    p = 1 + (n - a) div (3 + g mod 8). Words are joined by one space; null text is empty.
+    """
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
+    n = F.size(words).cast("long")
+    g = F.floor(F.crc32(doc_id.cast("string").cast("binary")) / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    moved = F.transform(
+        words, lambda w, i: F.when(i >= a, F.element_at(words, (a + (i - a) % p + 1).cast("int"))).otherwise(w)
+    )
+    planted = (F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0) & (n > 0)
+    return F.array_join(F.when(planted, moved).otherwise(words), " ")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    found = periodic_runs(docs.withColumn("text", planted_periods(F.col("doc_id"), F.col("text"))))
+    best = best_run(F.col("runs"))
+    listed = F.transform(
+        F.col("runs"), lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    )
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
