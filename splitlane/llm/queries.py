@@ -15,6 +15,7 @@ from splitlane.llm.near_dedup import near_dedup
 from splitlane.llm.periodic import best_run, periodic_runs
 from splitlane.llm.neighbours import nearest_neighbours
 from splitlane.llm.quality import importance_resample
+from splitlane.llm.sharding import shard_documents
 from splitlane.llm.substring_dedup import substring_dedup
 from splitlane.llm.suffix_dedup import suffix_dedup
 from splitlane.llm.tables import WORD, read_table
@@ -141,3 +142,9 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return shard_documents(docs, 40, "bytes")
