@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from splitlane.llm.bpe import bpe_roundtrip, load_vocabulary
@@ -20,6 +20,7 @@ from splitlane.llm.substring_dedup import substring_dedup
 from splitlane.llm.suffix_dedup import suffix_dedup
 from splitlane.llm.tables import WORD, read_table
 from splitlane.llm.toxicity import rate_toxicity
+from splitlane.llm.trie import conversation_trie
 from splitlane.session import settle
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -148,3 +149,50 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
 def op12_sharding(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return shard_documents(docs, 40, "bytes")
+
+
+def rebuilt_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns of op13's conversations, ordered by ``seq``, and every conv_id.
+
+    Turns are ordered by turn (null first), ties by role, then text; null role or text
+    is empty. Conversation c takes the first h turns of conversation c - c mod 100 (all
+    if fewer, none if absent), then its own turns after its first h; h is the unsigned
+    crc32 of the decimal c, mod 6.
+    """
+    turns = conversations.filter(F.col("conv_id").isNotNull()).select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    by_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    ordered = turns.withColumn("pos", F.row_number().over(by_turn) - 1)
+    ids = (
+        turns.select("conv_id")
+        .distinct()
+        .withColumn("h", F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6)
+        .withColumn("base", F.col("conv_id") - F.col("conv_id") % 100)
+    )
+    own = ordered.join(ids.select("conv_id", "h"), "conv_id").filter(F.col("pos") >= F.col("h"))
+    lent = ordered.filter(F.col("pos") < 6).select(F.col("conv_id").alias("base"), "pos", "role", "text")
+    borrowed = ids.join(lent, "base").filter(F.col("pos") < F.col("h"))
+    rebuilt = own.select("conv_id", (F.col("pos") + 6).alias("seq"), "role", "text").unionByName(
+        borrowed.select("conv_id", F.col("pos").alias("seq"), "role", "text")
+    )
+    return rebuilt, ids.select("conv_id")
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns, ids = rebuilt_conversations(read_table(spark, sf, "conversations"))
+    nodes = conversation_trie(turns, ids, order="seq")
+    return nodes.select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        "saved_tokens",
+        F.sha2("ends", 256).alias("ends_sha256"),
+    )
