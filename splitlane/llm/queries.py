@@ -115,13 +115,16 @@ def planted_periods(doc_id: Column, text: Column) -> Column:
     """
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
     n = F.size(words).cast("long")
-    g = F.floor(F.crc32(doc_id.cast("string").cast("binary")) / 10)
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    moved = F.transform(
-        words, lambda w, i: F.when(i >= a, F.element_at(words, (a + (i - a) % p + 1).cast("int"))).otherwise(w)
-    )
-    planted = (F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0) & (n > 0)
+    # Words a .. a + p - 1, repeated to fill the place of words a .. n - 1. The word list
+    # is used whole a few times, never once per word.
+    cycle = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    filled = F.slice(F.flatten(F.array_repeat(cycle, F.ceil((n - a) / p).cast("int"))), 1, (n - a).cast("int"))
+    moved = F.concat(F.slice(words, 1, a.cast("int")), filled)
+    planted = (h % 10 == 0) & (n > 0)
     return F.array_join(F.when(planted, moved).otherwise(words), " ")
 
 
