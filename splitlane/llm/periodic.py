@@ -167,21 +167,37 @@ def collapse(words: list[bytes], runs: list[tuple[int, int, int]]) -> bytes:
     return b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
 
 
+# Bytes of text hashed at once: the hash tables of a slice are eight times its size.
+SLICE_BYTES = 512 << 10
+
+
+def _slices(off: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of texts holding about SLICE_BYTES each, one text at least."""
+    out, at, n = [], 0, len(off) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1)
+        out.append((at, to))
+        at = to
+    return out
+
+
 @F.arrow_udf(RESULT)
 def _runs_of(text: pa.Array) -> pa.Array:
     data, off = A.text_buffers(text)
-    raw = data.tobytes()
-    starts, ends, first = A.word_table(data, off)
-    hashes = A.word_hashes(data, starts, ends)
     counts, s_out, l_out, p_out, collapsed = [0], [], [], [], []
-    for i in range(len(text)):
-        runs = find_runs(hashes[first[i] : first[i + 1]])
-        for s, length, q in runs:
-            s_out.append(s)
-            l_out.append(length)
-            p_out.append(q)
-        counts.append(counts[-1] + len(runs))
-        collapsed.append(collapse(raw[off[i] : off[i + 1]].split(), runs).decode("utf-8", "replace"))
+    for lo, hi in _slices(off):
+        piece, cuts = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        raw = piece.tobytes()
+        starts, ends, first = A.word_table(piece, cuts)
+        hashes = A.word_hashes(piece, starts, ends)
+        for i in range(hi - lo):
+            runs = find_runs(hashes[first[i] : first[i + 1]])
+            for s, length, q in runs:
+                s_out.append(s)
+                l_out.append(length)
+                p_out.append(q)
+            counts.append(counts[-1] + len(runs))
+            collapsed.append(collapse(raw[cuts[i] : cuts[i + 1]].split(), runs).decode("utf-8", "replace"))
     offsets = pa.array(counts, pa.int32())
 
     def listed(values: list[int]) -> pa.Array:
