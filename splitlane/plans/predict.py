@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from itertools import islice
 
 from pyspark.ml import Model, Transformer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitlane.functions.hashing import draw_below, feature_hash
@@ -15,6 +15,7 @@ from splitlane.functions.identity import enrich_identity
 from splitlane.operators.assign import chosen, pick_best, random_assign
 from splitlane.operators.features import CategoryCoder, identity_features
 from splitlane.operators.filters import union_sources
+from splitlane.operators.forests import TREE_KINDS, forest_score, node_tables, qualified
 from splitlane.operators.geo import PlaceIndex, geo_range_join
 from splitlane.operators.lookup import lookup_join
 from splitlane.operators.trees import class_positions, load_model, score_options
@@ -183,19 +184,93 @@ def _decision_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def own_mappings(spark: SparkSession, apps: list[AppModel]) -> DataFrame:
+    """The category codes saved beside each app's model, all read in one scan."""
+    owners = spark.createDataFrame(
+        [(a.app_id, qualified(spark, a.model_path)) for a in apps], "app_id string, _folder string"
+    )
+    codes = spark.read.parquet(*[f"{a.model_path}/mapping" for a in apps]).withColumn(
+        "_folder", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/mapping/[^/]+$", 1)
+    )
+    return codes.join(F.broadcast(owners), ["app_id", "_folder"]).select("app_id", "pos", "raw", "code", "arity")
+
+
+def option_codes(mapping: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per app (app_id, n_descriptors): the codes of its variations by position, and their arity."""
+    seen = mapping.join(sizes, "app_id").where(F.col("pos") == F.col("n_descriptors"))
+    return seen.groupBy("app_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("raw").cast("int"), F.col("code").cast("double")))).alias(
+            "_codes"
+        ),
+        F.max("arity").alias("_arity"),
+    )
+
+
+def _option(i: Column) -> Column:
+    """The code of variation ``i``: as seen in training, else a seen code drawn per request."""
+    drawn = draw_below(F.col("_arity"), F.col("app_id"), F.col("event_id"), F.col("n_descriptors"), i)
+    return F.when(F.coalesce(F.size("_codes"), F.lit(0)) <= 0, i.cast("double")).otherwise(
+        F.coalesce(F.try_element_at(F.col("_codes"), i), drawn.cast("double"))
+    )
+
+
+def scored_as_data(
+    configured: DataFrame,
+    apps: list[AppModel],
+    extractor: Transformer | None = None,
+    hash_fn: Callable[[Column], Column] = feature_hash,
+) -> DataFrame:
+    """Configured requests of all modelled ``apps`` with ``scores``, their trees read as data.
+
+    Models, codes and configs of every app are each read in one scan and joined to the
+    requests on app_id; the number of apps changes the size of those tables, not the plan.
+    """
+    spark = configured.sparkSession
+    mapping = own_mappings(spark, apps)
+    sizes = spark.createDataFrame([(a.app_id, a.n_descriptors) for a in apps], "app_id string, n_descriptors int")
+    models = (
+        node_tables(spark, [(a.app_id, a.model_path, a.model_type) for a in apps])
+        .join(sizes, "app_id")
+        .join(option_codes(mapping, sizes), "app_id", "left")
+        .drop("model_type")
+    )
+    coded = coded_identity(configured, mapping, max(a.n_descriptors for a in apps), extractor, hash_fn)
+    rows = lookup_join(coded, models, "app_id", "inner")
+    scores = F.transform(
+        F.sequence(F.lit(0), F.size("variations") - 1),
+        lambda i: forest_score(F.col("trees"), F.concat(F.col("features"), F.array(_option(i))), F.col("steps")),
+    )
+    return rows.withColumn("scores", scores).drop("trees", "steps", "_codes", "_arity", "n_descriptors")
+
+
+def decide_as_data(
+    configured: DataFrame,
+    apps: list[AppModel],
+    extractor: Transformer | None = None,
+    hash_fn: Callable[[Column], Column] = feature_hash,
+) -> DataFrame:
+    """Decisions of the requests of all modelled ``apps`` in one plan: the best of ``scored_as_data``."""
+    return _decision_columns(pick_best(scored_as_data(configured, apps, extractor, hash_fn)))
+
+
 def decision_plans(
     requests: DataFrame,
     registry: DataFrame,
     loader: ModelLoader | None = None,
     extractor: Transformer | None = None,
     hash_fn: Callable[[Column], Column] = feature_hash,
+    as_data: bool | None = None,
 ) -> Iterator[DataFrame]:
-    """Decisions of all requests, as one plan of random choices and plans of a few scored apps each.
+    """Decisions of all requests, as one plan of random choices and plans of scored apps.
 
-    The requests are read once and laid out by app, whatever the number of apps; each plan
-    then reads the folders of its own apps. What gives no decision is in refused_requests().
+    The requests are read once and laid out by app, whatever the number of apps. Tree
+    models saved by ``save_model`` are scored as data, all apps in one plan; that is the
+    way unless a ``loader`` is given or a model is of another kind (``as_data`` None), or
+    as ``as_data`` says. Otherwise each plan decides a few apps, loading their models.
+    What gives no decision is in refused_requests().
     """
     spark = requests.sparkSession
+    own_loader = loader is not None
     loader = loader or (lambda path, kind: load_model(spark, path, kind))
     apps = registry.where(answers())
     config = apps.select("app_id", "variations", "descriptors", uses_model().alias("_scores"))
@@ -203,6 +278,15 @@ def decision_plans(
     laid_out = settle(by_app(configured), "requests", ("_scores", "app_id"))
     yield _decision_columns(random_assign(laid_out.where(~F.col("_scores"))))
     modelled = modelled_apps(apps)
+    if as_data is None or as_data:
+        every = list(modelled)
+        if as_data is None:
+            as_data = not own_loader and all(a.model_type in TREE_KINDS for a in every)
+        modelled = iter(every)
+        if as_data:
+            if every:
+                yield decide_as_data(laid_out.where("_scores"), every, extractor, hash_fn)
+            return
     while batch := list(islice(modelled, APPS_PER_PLAN)):
         yield _decide_scored(laid_out.where("_scores"), batch, loader, extractor, hash_fn)
 
@@ -225,9 +309,10 @@ def choose_variation(
     loader: ModelLoader | None = None,
     extractor: Transformer | None = None,
     hash_fn: Callable[[Column], Column] = feature_hash,
+    as_data: bool | None = None,
 ) -> DataFrame:
-    """Decisions of all requests as one DataFrame, for registries with few modelled apps."""
-    plans = decision_plans(requests, registry, loader, extractor, hash_fn)
+    """Decisions of all requests as one DataFrame (two plans when models are read as data)."""
+    plans = decision_plans(requests, registry, loader, extractor, hash_fn, as_data)
     whole = next(plans)
     for plan in plans:
         whole = whole.unionByName(plan)
@@ -264,7 +349,8 @@ def predict_and_log(
     write: Callable[[DataFrame, int], None],
     server_ts: Column,
     loader: ModelLoader | None = None,
+    as_data: bool | None = None,
 ) -> None:
     """Decide all requests and hand the start events to ``write``, plan by plan."""
-    for number, plan in enumerate(decision_plans(requests, registry, loader)):
+    for number, plan in enumerate(decision_plans(requests, registry, loader, as_data=as_data)):
         write(decisions_as_starts(plan, server_ts), number)
