@@ -724,3 +724,7 @@ told AS (
     ),
     "stream_retrain_trigger": RETRAINED,
 }
+
+# Decisions by node tables give the same rows as by loaded models.
+ORACLES["choose_variation_as_data"] = ORACLES["choose_variation"]
+ORACLES["predict_and_log_as_data"] = ORACLES["predict_and_log"]

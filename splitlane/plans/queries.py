@@ -791,6 +791,10 @@ def score_classification(spark: SparkSession, sf: str) -> DataFrame:
 def choose_variation(spark: SparkSession, sf: str) -> DataFrame:
     apps, loader = _trained_registry(spark, sf)
     decided = settle(predict.choose_variation(_requests(spark, sf), apps, loader), "decided")
+    return _replies_held(spark, sf, apps, loader, decided)
+
+
+def _replies_held(spark: SparkSession, sf: str, apps: DataFrame, loader: predict.ModelLoader, decided: DataFrame) -> DataFrame:
     held = _held_against_scores(spark, sf, apps, loader, decided.select("event_id", "variation", "kind"))
     return predict.replies(decided).join(held.select("event_id", "drawn", "best"), "event_id").select(
         "event_id",
@@ -802,6 +806,28 @@ def choose_variation(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _saved_registry(
+    spark: SparkSession, sf: str, spec: TreeSpec = TREE_REGRESSOR, app_ids: tuple[str, ...] = (APP_1,)
+) -> tuple[DataFrame, predict.ModelLoader]:
+    """As ``_trained_registry``, with each model saved in a folder of its own, as training leaves it."""
+    apps, loader = _trained_registry(spark, sf, spec, app_ids)
+    folders = {app: scratch_path(spark, "model") for app in app_ids}
+    for app, folder in folders.items():
+        save_model(*loader(app, spec.model_type), folder)
+    owners = {folder: app for app, folder in folders.items()}
+    paths = F.create_map(*[F.lit(x) for pair in folders.items() for x in pair])
+    saved = registry.update_where(apps, F.col("app_id").isin(*app_ids), model_path=F.element_at(paths, F.col("app_id")))
+    return saved, lambda path, kind: loader(owners[path], kind)
+
+
+@query
+def choose_variation_as_data(spark: SparkSession, sf: str) -> DataFrame:
+    """``choose_variation`` with the model read as a node table; held against Spark ML's scores."""
+    apps, loader = _saved_registry(spark, sf)
+    decided = settle(predict.choose_variation(_requests(spark, sf), apps, as_data=True), "decided")
+    return _replies_held(spark, sf, apps, loader, decided)
+
+
 def decide_and_log(spark: SparkSession, sf: str, apps: DataFrame, loader: predict.ModelLoader) -> DataFrame:
     """The logged decisions of all requests."""
     path = scratch_path(spark, "decided")
@@ -815,7 +841,10 @@ def decide_and_log(spark: SparkSession, sf: str, apps: DataFrame, loader: predic
 @query
 def predict_and_log(spark: SparkSession, sf: str) -> DataFrame:
     apps, loader = _trained_registry(spark, sf)
-    logged = decide_and_log(spark, sf, apps, loader)
+    return _logged_held(spark, sf, apps, loader, decide_and_log(spark, sf, apps, loader))
+
+
+def _logged_held(spark: SparkSession, sf: str, apps: DataFrame, loader: predict.ModelLoader, logged: DataFrame) -> DataFrame:
     held = _held_against_scores(spark, sf, apps, loader, logged.select("event_id", "variation", "kind"))
     return logged.join(held.select("event_id", "drawn", "best"), "event_id").select(
         "event_id",
@@ -829,6 +858,13 @@ def predict_and_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def predict_and_log_as_data(spark: SparkSession, sf: str) -> DataFrame:
+    """``predict_and_log`` deciding by node tables in one plan (no loader); held against Spark ML's scores."""
+    apps, loader = _saved_registry(spark, sf)
+    return _logged_held(spark, sf, apps, loader, decide_and_log(spark, sf, apps, None))
+
+
 # --- registry state --------------------------------------------------------------------------
 
 
