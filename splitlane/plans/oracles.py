@@ -728,3 +728,4 @@ told AS (
 # Decisions by node tables give the same rows as by loaded models.
 ORACLES["choose_variation_as_data"] = ORACLES["choose_variation"]
 ORACLES["predict_and_log_as_data"] = ORACLES["predict_and_log"]
+ORACLES["append_start_compacted"] = ORACLES["append_start"]

@@ -40,6 +40,7 @@ from splitlane.plans import predict, train
 from splitlane.plans import views as V
 from splitlane.schema import FINISH, PREDICT, PREDICTED, PREDICTING, REQUESTS, START, START_EVENTS, SUSPENDED
 from splitlane.session import scratch_path, settle
+from splitlane.sinks import manifest
 from splitlane.sinks import tables as sinks
 from splitlane.sources import tables as sources
 from splitlane.streaming import jobs
@@ -190,6 +191,22 @@ def append_start(spark: SparkSession, sf: str) -> DataFrame:
     return _start_columns(sources.scan_starts(spark, path))
 
 
+# Batches the start events are published in by ``append_start_compacted``.
+BATCHES = 8
+
+
+@query
+def append_start_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The start events published in batches through a manifest, one batch twice, then packed."""
+    root = scratch_path(spark, "starts")
+    events = V.start_events(spark, sf).select(*START_EVENTS.names)
+    part = F.pmod(F.xxhash64("event_id"), F.lit(BATCHES))
+    for number in [*range(BATCHES), BATCHES // 2]:
+        manifest.publish_batch(events.where(part == number), root, number)
+    manifest.compact(spark, root, START_EVENTS)
+    return _start_columns(manifest.read_events(spark, root, START_EVENTS))
+
+
 @query
 def append_finish(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "finishes")
