@@ -5,30 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = 65536
-
+from splitlane.session import settle
 
 def max_before(df: DataFrame, keys: list[str], order: str, **values: Column) -> DataFrame:
     """Add, per name, the maximum of a value over the earlier rows of the group.
 
-    A group is worked on in spans of ``SPAN`` ids: the running maximum inside
-    the span, and the maximum of all lower spans from a summary of one row per
-    span. A group holding a third of all rows is thus spread over its spans.
+    A distributed prefix scan: rows are range-partitioned by (keys, order), with
+    splitters Spark samples, so a group holding a third of all rows spreads over many
+    partitions whatever its ids look like. Each partition keeps its running maximum
+    inside; one carry row per partition and group brings the maximum of the
+    partitions before it. Rows equal in keys and order stay in one partition.
     """
-    rows = df.withColumn("_span", F.floor(F.col(order) / F.lit(SPAN)))
-    rows = rows.withColumns({f"_v_{name}": value for name, value in values.items()})
-    lower = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = ["_span", *keys]
-    inside = (
-        Window.partitionBy(*spans).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    summary = rows.groupBy(*spans).agg(
-        *[F.max(f"_v_{name}").alias(f"_s_{name}") for name in values]
+    ranged = settle(
+        df.withColumns({f"_v_{name}": value for name, value in values.items()})
+        .repartitionByRange(*keys, order)
+        .withColumn("_part", F.spark_partition_id()),
+        "ranged",
     )
+    parts = ["_part", *keys]
+    inside = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition and group: bounded by the partitions a group spans.
+    summary = ranged.groupBy(*parts).agg(*[F.max(f"_v_{name}").alias(f"_s_{name}") for name in values])
     carried = summary.select(
-        *spans, *[F.max(f"_s_{name}").over(lower).alias(f"_c_{name}") for name in values]
+        *[F.col(c).alias(f"_k_{c}") for c in parts],
+        *[F.max(f"_s_{name}").over(lower).alias(f"_c_{name}") for name in values],
     )
-    joined = rows.join(carried, spans)
+    # Null keys are a group of their own.
+    same = [ranged[c].eqNullSafe(carried[f"_k_{c}"]) for c in parts]
+    joined = ranged.join(carried, same)
     return joined.select(
         *df.columns,
         *[
