@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitlane.session import settle
+from splitlane.operators.lookup import lookup_join
 
 def max_before(df: DataFrame, keys: list[str], order: str, **values: Column) -> DataFrame:
     """Add, per name, the maximum of a value over the earlier rows of the group.
@@ -16,24 +16,28 @@ def max_before(df: DataFrame, keys: list[str], order: str, **values: Column) ->
     inside; one carry row per partition and group brings the maximum of the
     partitions before it. Rows equal in keys and order stay in one partition.
     """
-    ranged = settle(
+    # Both uses read one range exchange; its splitters come from a seeded sample, so a
+    # stage run again deals the rows alike.
+    ranged = (
         df.withColumns({f"_v_{name}": value for name, value in values.items()})
         .repartitionByRange(*keys, order)
-        .withColumn("_part", F.spark_partition_id()),
-        "ranged",
+        .withColumn("_part", F.spark_partition_id())
     )
-    parts = ["_part", *keys]
+    # Exact keys for equi-joins: null is a group of its own.
+    ranged = ranged.withColumns(
+        {
+            **{f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)},
+            **{f"_n{i}": F.col(k).isNull() for i, k in enumerate(keys)},
+        }
+    )
+    groups = [c for i in range(len(keys)) for c in (f"_k{i}", f"_n{i}")]
+    parts = ["_part", *groups]
     inside = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    lower = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition and group: bounded by the partitions a group spans.
     summary = ranged.groupBy(*parts).agg(*[F.max(f"_v_{name}").alias(f"_s_{name}") for name in values])
-    carried = summary.select(
-        *[F.col(c).alias(f"_k_{c}") for c in parts],
-        *[F.max(f"_s_{name}").over(lower).alias(f"_c_{name}") for name in values],
-    )
-    # Null keys are a group of their own.
-    same = [ranged[c].eqNullSafe(carried[f"_k_{c}"]) for c in parts]
-    joined = ranged.join(carried, same)
+    carried = summary.select(*parts, *[F.max(f"_s_{name}").over(lower).alias(f"_c_{name}") for name in values])
+    joined = lookup_join(ranged, carried, parts, "inner")
     return joined.select(
         *df.columns,
         *[
