@@ -63,3 +63,28 @@ def test_many_apps_in_one_plan(spark, prepared):
     )
     assert sorted(tuple(r) for r in decided.collect()) == sorted(tuple(r) for r in loaded.drop("x").collect())
     assert decided.count() == 200
+
+
+def test_trees_are_copied_once_per_batch(spark, prepared, monkeypatch):
+    monkeypatch.setattr(predict, "BATCH_ROWS", 50)
+    joined = []
+    join = predict.lookup_join
+
+    def spy(facts, lookup, *args, **kwargs):
+        if "trees" in lookup.columns:
+            joined.append(facts.count())
+        return join(facts, lookup, *args, **kwargs)
+
+    monkeypatch.setattr(predict, "lookup_join", spy)
+    model = train.train_app(prepared, APP).model
+    path = scratch_path(spark, "model")
+    save_model(model, prepared.mapping, path)
+    apps = population_app(spark, state="Predicting", predicting_from=1, model_path=path)
+    apps = apps.withColumn("model_type", F.lit("tree_regressor"))
+    modelled = list(predict.modelled_apps(apps))
+    # The same request three times over: each comes back.
+    asked = people(spark)
+    configured = features.config_join(asked.unionByName(asked).unionByName(asked), apps)
+    scored = predict.scored_as_data(configured, modelled)
+    assert scored.count() == 390 and scored.where("scores is null").count() == 0
+    assert joined == [8]
