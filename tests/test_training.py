@@ -226,3 +226,29 @@ def test_failed_training_falls_back_to_no_data(spark, monkeypatch):
     train.retrain_cycle(two_populations(spark, 100), *where)
     row = read_registry(spark, where[0]).first()
     assert (row.run_state, row.predicting_from) == ("NoData", None)
+
+
+def test_rows_of_a_fit_are_dealt_over_the_cores(spark, prepared, monkeypatch):
+    monkeypatch.setattr(train, "TASK_VISITS", 5_000)
+    seen, fit = [], train.fit_tree
+
+    def spy(rows, *args):
+        seen.append((rows.rdd.getNumPartitions(), sorted(r.session for r in rows.collect())))
+        return fit(rows, *args)
+
+    monkeypatch.setattr(train, "fit_tree", spy)
+    train.train_app(prepared, APP, FOREST_REGRESSOR)
+    (tasks, sessions), = seen
+    assert tasks > 1
+    assert sessions == sorted(r.session for r in prepared.sample.where("train").collect())
+
+
+def test_a_forest_sends_no_trees_to_its_tasks(prepared):
+    rows = prepared.sample.where("train")
+    estimator = tree_estimator(FOREST_REGRESSOR, 100)
+    assert estimator.getCacheNodeIds()
+    grown = [
+        fit_tree(rows, prepared.arities(APP), prepared.names(APP), FOREST_REGRESSOR, 100, e).toDebugString.split("\n", 1)[1]
+        for e in (estimator, estimator.copy({estimator.cacheNodeIds: False}))
+    ]
+    assert grown[0] == grown[1]
