@@ -1,10 +1,12 @@
 from frames import APP, app, events
 from pyspark.sql import functions as F
 
+from splitlane.operators.lookup import dealt
 from splitlane.operators.sessions import session_sample
 from splitlane.schema import REQUESTS, START_EVENTS
 from splitlane.session import scratch_path, settle
 from splitlane.sinks import tables as sinks
+from splitlane.sinks.tables import by_app
 from splitlane.sources import tables as sources
 from splitlane.streaming import jobs
 
@@ -176,3 +178,32 @@ def test_background_trigger_runs_one_training_at_a_time():
     go.set()
     after.wait()
     assert len(seen) == 1
+
+
+def test_a_large_app_of_one_task_is_laid_out_by_several(spark):
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        one = spark.range(0, 20_000, 1, 1).select(
+            F.lit("x").alias("app_id"), F.col("id").alias("event_id"), (F.col("id") % 2 == 0).alias("_scores")
+        )
+        out = by_app(one, ("_scores", "app_id"))
+        # In the order that a write to these folders needs, so that it is not sorted once more.
+        assert out.columns == one.columns
+        path = scratch_path(spark, "laid")
+        out.write.partitionBy("_scores", "app_id").parquet(path)
+        assert spark.read.parquet(path).count() == 20_000
+        parts = out.rdd.mapPartitions(lambda part: [[(r._scores, r.event_id) for r in part]]).collect()
+        assert sum(len(part) > 0 for part in parts) > 1 and sum(map(len, parts)) == 20_000
+        assert all(part == sorted(part) for part in parts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_rows_of_one_file_are_dealt(spark):
+    one = spark.range(0, 1_000, 1, 1).withColumnRenamed("id", "event_id")
+    out = dealt(one, "event_id")
+    assert out.rdd.getNumPartitions() > 1 and sorted(r.event_id for r in out.collect()) == list(range(1_000))
