@@ -238,6 +238,9 @@ def predict_language(text: Column, model: LanguageModel) -> Column:
     if not languages:
         return blank
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    # A filter on the result would otherwise be pushed below it with a second prediction of every
+    # text, and each task would keep two Python workers.
+    predict = predict.asNondeterministic()
     return F.when(lettered, predict(F.coalesce(text, F.lit("")))).otherwise(blank)
 
 

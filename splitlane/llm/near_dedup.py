@@ -289,7 +289,11 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = text_ids(docs)
     idf = inverse_frequencies(texts)
     bands = settle(texts.mapInArrow(_band_rows(idf, threshold), "tid binary, band int, key long, size int"), "bands")
-    shared = bands.groupBy("band", "key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low != high")
+    # Least and greatest halves of the tids, as numbers: binary values would have every band row sorted.
+    halves = [F.conv(F.hex(F.substring("tid", at, 8)), 16, -10).cast("long") for at in (1, 9)]
+    ends = [end(half) for half in halves for end in (F.min, F.max)]
+    least = bands.groupBy("band", "key").agg(*[e.alias(f"end{k}") for k, e in enumerate(ends)])
+    shared = least.filter("end0 != end1 or end2 != end3")
     members = settle(
         bands.join(settle(shared.select("band", "key"), "shared"), ["band", "key"])
         .withColumn("size", F.explode(F.array("size", F.col("size") + 1)))

@@ -59,6 +59,12 @@ def test_stages_on_the_table(spark, small):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_language_is_predicted_once_for_each_text(spark, small, capsys):
+    """The stage's filter is not pushed below the prediction with a prediction of its own."""
+    P.language_stage(spark, small, SMALL).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
 def test_run_gives_the_rows_of_its_stages(spark, small):
     last = through(spark, small)[-1][2]
     run = P.run(spark, SMALL)
