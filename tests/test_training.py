@@ -252,3 +252,21 @@ def test_a_forest_sends_no_trees_to_its_tasks(prepared):
         for e in (estimator, estimator.copy({estimator.cacheNodeIds: False}))
     ]
     assert grown[0] == grown[1]
+
+
+def test_a_fit_uses_every_training_row(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def spy(rows, arities, names, spec, n_rows, estimator):
+        raise Seen(rows.count(), n_rows)
+
+    monkeypatch.setattr(train, "fit_tree", spy)
+    many = 2_400_000
+    sample = spark.range(many, numPartitions=4).select(
+        F.lit(APP).alias("app_id"), F.col("id").cast("string").alias("session"), F.lit(True).alias("train")
+    )
+    codes = spark.createDataFrame([], "app_id string, pos int, raw double, code int, arity bigint")
+    with pytest.raises(Seen) as seen:
+        train.train_app(train.Prepared(sample, codes, population_app(spark)), APP)
+    assert seen.value.args == (many, many)
